@@ -17,11 +17,12 @@ from remeasure.session import stored
 def _roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges``: its smallest neighbour, followed to the end."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    chain = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    chain = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
     while True:
         onward = chain.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        jumped = chain.join(onward, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved"))
-        jumped = stored(jumped)
+        twice = chain.join(onward, "root").select("node", "root", "further")
+        onward = onward.select(F.col("root").alias("further"), F.col("further").alias("furthest"))
+        jumped = stored(twice.join(onward, "further").select("node", F.col("furthest").alias("root"), (F.col("furthest") != F.col("root")).alias("moved")))
         chain = jumped.select("node", "root")
         if jumped.where("moved").isEmpty():
             return chain

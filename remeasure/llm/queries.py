@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from remeasure.llm import components, distinct, percentiles, splits
+from remeasure.llm import components, distinct, packing, percentiles, splits, tokens
 from remeasure.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,8 @@ QUERIES: dict[str, Query] = {
     "p3_distinct": _on("rvtab pairs", _distinct),
     "p5_percentiles": _on("pairs by_program", _percentiles),
     "p6_found": _on("pairs", components.label_groups),
+    "p7_ids": _on("documents", tokens.token_ids),
+    "p8_packed": _on("documents", packing.pack_documents),
 }
 
 
@@ -95,10 +97,10 @@ WITH r AS (
   SELECT DISTINCT 'pairs.delta_vrad' AS field_name, pair_id AS a, 0 AS b, {_pair("program_pair")} AS program_pair, {_night("night_1")} AS night, delta_vrad AS v FROM pairs
   UNION ALL SELECT DISTINCT 'by_program.raw_width_before_kms', run_id, fold, {_pair("program_pair")}, CAST(run_night AS VARCHAR), raw_width_before_kms FROM by_program
 ), f AS (SELECT * FROM r WHERE isfinite(v)), q(percentile) AS (VALUES (0.05::DOUBLE), (0.16), (0.5), (0.84), (0.95)),
-both AS (
+scoped AS (
   SELECT field_name, 'night' AS scope, program_pair, night, list(v) AS vs FROM f GROUP BY ALL
   UNION ALL SELECT field_name, 'all', program_pair, NULL, list(v) FROM f GROUP BY ALL
-), s AS (SELECT field_name, scope, program_pair, night, list_sort(vs) AS vs, len(vs) AS n_values FROM both)
+), s AS (SELECT field_name, scope, program_pair, night, list_sort(vs) AS vs, len(vs) AS n_values FROM scoped)
 SELECT field_name, scope, program_pair, night, percentile, n_values, 0.0::DOUBLE AS max_error,
   vs[floor(percentile * (n_values - 1))::INT + 1] + (percentile * (n_values - 1) - floor(percentile * (n_values - 1)))
     * (vs[least(floor(percentile * (n_values - 1))::INT + 2, n_values)] - vs[floor(percentile * (n_values - 1))::INT + 1]) AS value
