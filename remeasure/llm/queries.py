@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from remeasure.llm import components, distinct, packing, percentiles, splits, tokens
+from remeasure.llm import components, distinct, packing, percentiles, sentences, splits, tokens
 from remeasure.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": _on("pairs", components.label_groups),
     "p7_ids": _on("documents", tokens.token_ids),
     "p8_packed": _on("documents", packing.pack_documents),
+    "p9_found": _on("documents", sentences.sentences),
 }
 
 
