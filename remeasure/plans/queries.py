@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from remeasure.operators import references, spikes
-from remeasure.session import table
+from remeasure.functions.columns import clean_label as _clean_label
+from remeasure.functions.columns import clean_night as _clean_night
+from remeasure.functions.columns import clean_pair_label as _clean_pair_label
+from remeasure.operators import calibration, correction, label_offsets, pairs, quality, references, schema, spikes, summary, zero_points
+from remeasure.operators.label_offsets import OffsetRules
+from remeasure.session import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +22,113 @@ def _on(names: str, f: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf_dir: f(*[table(spark, sf_dir, n) for n in names.split()])
 
 
+#: Labels need this many pairs on the test tables, which are small for the default.
+TEST_RULES = OffsetRules(min_pairs_per_label=30)
+
+
+def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations of rvtab as epochs, each once, as first delivered."""
+    rows = table(spark, sf_dir, "rvtab").where("obs_id is not null")
+    columns = ["ingested_at", *[c for c in rows.columns if c not in ("obs_id", "ingested_at")]]
+    first = rows.groupBy("obs_id").agg(F.min(F.struct(*columns)).alias("f")).select("obs_id", "f.*")
+    return schema.as_epochs(first.drop("group_id", "ingested_at"))
+
+
+def _clean_keys(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: _clean_label(F.col(c)) for c in ("SURVEY", "PROGRAM")})
+
+
+def adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs with the offsets of the correction table on which its rows agree, and a quality mask."""
+    offsets = correction.agreeing_correction(correction.clean_correction(table(spark, sf_dir, "backup_correction")))
+    return quality.with_quality(correction.apply_velocity_calibration(epochs(spark, sf_dir), offsets))
+
+
+def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.epoch_pairs(adopted(spark, sf_dir))
+
+
+def delivered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs table, each pair once, with clean labels."""
+    rows = table(spark, sf_dir, "pairs").where("pair_id is not null").dropDuplicates(["pair_id"])
+    rows = rows.toDF(*[c.upper() for c in rows.columns])
+    cleaned = {f"PROGRAM_{k}": _clean_label(F.col(f"PROGRAM_{k}")) for k in (1, 2)} | {f"NIGHT_{k}": _clean_night(F.col(f"NIGHT_{k}")) for k in (1, 2)}
+    return rows.withColumns({**cleaned, "PROGRAM_PAIR": _clean_pair_label(F.col("PROGRAM_PAIR"))})
+
+
+def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
+    """Doubles to a number of digits that doesn't depend on the order of sums."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _experiment(part: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return label_offsets.run_folds(stored(label_offsets.prepare(delivered_pairs(spark, sf_dir), TEST_RULES)), TEST_RULES)[part]
+
+    return run
+
+
+def _zero_points(part: str) -> Query:
+    rules = OffsetRules(min_pairs_per_label=30, damp=0.05, balance_groups=False, center_components=False)
+    return lambda spark, sf_dir: zero_points.zero_point_calibration(delivered_pairs(spark, sf_dir), ["PROGRAM", "NIGHT"], rules)[part]
+
+
+def _label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_offsets.prepare(delivered_pairs(spark, sf_dir), TEST_RULES).withColumn("model", label_offsets.hashed(F.col("GROUP_ID"), 5))
+
+
+def _on_pairs(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: _rounded(f(stored(pair_table(spark, sf_dir))))
+
+
+def _calibration(group: str | None, z: str, later: bool = False) -> Query:
+    return _on_pairs(lambda df: calibration.summarize_pair_residuals(calibration.interday(df) if later else df, group, z))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": _on("rvtab pairs", spikes.cases),
     "p1_flags": _on("rvtab pairs", spikes.flag_readings),
     "p4_found": _on("rvtab gaia backup_correction", references.orphans),
     "p4_by_night": _on("rvtab gaia backup_correction", references.orphans_by_night),
     "p4_by_tile": _on("rvtab gaia backup_correction correction_summary", references.coverage_by_tile),
+    "epochs": lambda spark, d: epochs(spark, d).select("OBS_ID", "TARGETID", "SOURCE_ID", "GROUP_ID", "GROUP_KIND", "MJD", "VRAD", "VRAD_ERR"),
+    "adopted_velocity": lambda spark, d: _rounded(adopted(spark, d).select("OBS_ID", "VRAD_OFFSET", "VRAD_FLOOR", "VRAD_ADOPTED", "VRAD_ERR_ADOPTED")),
+    "correction_coverage": lambda spark, d: correction.correction_coverage(adopted(spark, d)),
+    "correction_conflicts": lambda spark, d: correction.correction_conflicts(correction.clean_correction(table(spark, d, "backup_correction"))),
+    "quality_filtered": lambda spark, d: adopted(spark, d).where("IS_GOOD").select("OBS_ID"),
+    "rejection_counts": lambda spark, d: _rounded(quality.rejection_counts(epochs(spark, d))),
+    "epoch_quality": lambda spark, d: _rounded(quality.epoch_quality(_clean_keys(epochs(spark, d)))),
+    "source_summary": lambda spark, d: _rounded(summary.summarize_sources(adopted(spark, d)).drop("p_const", "log_p_const", "evidence_score"), 3),
+    "source_p_values": lambda spark, d: summary.summarize_sources(adopted(spark, d)).select("group_id", "dof", "chi2_const", "p_const", "log_p_const", "evidence_score"),
+    "classification_counts": lambda spark, d: summary.classification_counts(summary.summarize_sources(adopted(spark, d))),
+    "strict_candidates": lambda spark, d: summary.candidates(summary.summarize_sources(adopted(spark, d)), strict=True).select("group_id", "n_epochs_good"),
+    "top_candidates": lambda spark, d: summary.ranked(summary.candidates(summary.summarize_sources(adopted(spark, d)))).limit(10),
+    "pair_table": lambda spark, d: _rounded(pair_table(spark, d), 4),
+    "calibration_overall": _calibration(None, "PAIR_Z"),
+    "calibration_overall_formal": _calibration(None, "PAIR_Z_FORMAL"),
+    "calibration_by_program": _calibration("PROGRAM_PAIR", "PROGRAM_PAIR_Z"),
+    "calibration_by_program_formal": _calibration("PROGRAM_PAIR", "PROGRAM_PAIR_Z_FORMAL"),
+    "calibration_interday": _calibration("PROGRAM_PAIR", "PROGRAM_PAIR_Z", True),
+    "calibration_interday_formal": _calibration("PROGRAM_PAIR", "PROGRAM_PAIR_Z_FORMAL", True),
+    "calibration_by_sn": _on_pairs(lambda df: calibration.summarize_pair_residuals(calibration.add_quantile_bin(df, "SN_R_MIN"), "SN_R_MIN_BIN")),
+    "residual_histogram": _on_pairs(calibration.residual_histogram),
+    "program_pair_counts": _on_pairs(calibration.program_pair_counts),
+    "report_headline": _on_pairs(calibration.headline),
+    "label_pairs": lambda spark, d: _rounded(_label_pairs(spark, d)),
+    "label_endpoint_counts": lambda spark, d: label_offsets.endpoint_counts(_label_pairs(spark, d)),
+    "kept_label_pairs": lambda spark, d: _rounded(label_offsets.kept_pairs(_label_pairs(spark, d), TEST_RULES)),
+    "label_pair_sums": lambda spark, d: _rounded(label_offsets.pair_sums(_label_pairs(spark, d), F.lit(True))),
+    "robust_metrics": lambda spark, d: _rounded(label_offsets.robust_metrics(_label_pairs(spark, d), ["PROGRAM_PAIR"], F.col("d"), F.col("formal") ** 2)),
+    "pair_floors": lambda spark, d: _rounded(label_offsets.pair_floors(_label_pairs(spark, d), F.col("d"), TEST_RULES)),
+    "exposure_conflicts": lambda spark, d: label_offsets.exposure_conflicts(delivered_pairs(spark, d)),
+    "exposure_nights": lambda spark, d: label_offsets.exposure_nights(delivered_pairs(spark, d), [0, 1]),
+    "fold_summary": _experiment("summary"),
+    "fold_by_program": _experiment("by_program"),
+    "fold_offsets": _experiment("offsets"),
+    "half_reproducibility": lambda spark, d: label_offsets.half_reproducibility(label_offsets.prepare(delivered_pairs(spark, d), TEST_RULES), TEST_RULES),
+    "permutation_control": lambda spark, d: label_offsets.permutation_control(delivered_pairs(spark, d), 2, TEST_RULES),
+    "zero_point_summary": _zero_points("summary"),
+    "zero_point_offsets": _zero_points("offsets"),
 }
 
 _READINGS = r"""
