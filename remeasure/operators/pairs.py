@@ -12,7 +12,7 @@ from remeasure.operators.summary import error_column, value_column
 DEFAULT_CAP = 20
 #: Columns of the pair table that each end brings in, as (name, source column).
 _ENDS = ("TARGETID", "SOURCE_ID", "EXPID", "MJD", "FIBER", "NIGHT", "TILEID")
-_PAIR_ORDER = """GROUP_ID GROUP_KIND TARGETID_1 TARGETID_2 SOURCE_ID_1 SOURCE_ID_2 OBS_KEY_1 OBS_KEY_2 EXPOSURE_KEY_1 EXPOSURE_KEY_2
+PAIR_COLUMNS = """GROUP_ID GROUP_KIND TARGETID_1 TARGETID_2 SOURCE_ID_1 SOURCE_ID_2 OBS_KEY_1 OBS_KEY_2 EXPOSURE_KEY_1 EXPOSURE_KEY_2
 EXPID_1 EXPID_2 MJD_1 MJD_2 DELTA_DAYS VRAD_1 VRAD_2 DELTA_VRAD PAIR_ERROR PAIR_Z VRAD_FORMAL_1 VRAD_FORMAL_2 DELTA_VRAD_FORMAL PAIR_ERROR_FORMAL
 PAIR_Z_FORMAL SN_R_MIN PROGRAM_1 PROGRAM_2 PROGRAM_PAIR PROGRAM_DELTA_VRAD PROGRAM_PAIR_Z PROGRAM_DELTA_VRAD_FORMAL PROGRAM_PAIR_Z_FORMAL
 SURVEY_1 SURVEY_2 FIBER_1 FIBER_2 NIGHT_1 NIGHT_2 TILEID_1 TILEID_2 TEFF_MEDIAN LOGG_MEDIAN FEH_MEDIAN""".split()
@@ -93,4 +93,4 @@ def epoch_pairs(epochs: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
         "PROGRAM_DELTA_VRAD_FORMAL": turned * formal, "PROGRAM_PAIR_Z_FORMAL": turned * ratio(formal, error("ERR_FORMAL")),
         "TEFF_MEDIAN": mean("TEFF"), "LOGG_MEDIAN": mean("LOGG"), "FEH_MEDIAN": mean("FEH"),
     }
-    return both.select(*[made[c].alias(c) for c in _PAIR_ORDER])
+    return both.select(*[made[c].alias(c) for c in PAIR_COLUMNS])

@@ -177,6 +177,140 @@ WITH obs AS (
 )
 """
 
+
+_EPOCHS = r"""
+WITH first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY ingested_at) AS k FROM rvtab WHERE obs_id IS NOT NULL) WHERE k = 1),
+epochs AS (
+  SELECT obs_id, targetid, source_id, expid, fiber, tileid, night, mjd, survey, program, CASE WHEN NOT isnan(vrad) THEN vrad END AS vrad, vrad_err, sn_r,
+    rvs_warn, coalesce(success, false) AS success, vsini, rr_spectype,
+    CASE WHEN source_id > 0 THEN source_id ELSE -coalesce(targetid, 0) END AS group_id,
+    CASE WHEN source_id > 0 THEN 'GAIA_SOURCE_ID' ELSE 'TARGETID_FALLBACK' END AS group_kind,
+    coalesce(upper(regexp_replace(survey, '^\s+|\s+$', '', 'g')), '') AS cs, coalesce(upper(regexp_replace(program, '^\s+|\s+$', '', 'g')), '') AS cp
+  FROM first
+), offsets AS (
+  SELECT targetid, min(vrad_offset) AS vrad_offset FROM backup_correction WHERE targetid IS NOT NULL AND isfinite(vrad_offset)
+  GROUP BY targetid HAVING min(vrad_offset) = max(vrad_offset)
+), adopted AS (
+  SELECT e.*, cs = 'MAIN' AND cp = 'BACKUP' AS backup, o.targetid IS NOT NULL AS matched,
+    CASE WHEN cs = 'MAIN' AND cp = 'BACKUP' THEN coalesce(o.vrad_offset, 0.0) ELSE 0.0 END AS vrad_offset,
+    CASE cp WHEN 'BRIGHT' THEN 1.0 WHEN 'BACKUP' THEN 2.0 WHEN 'DARK' THEN 1.6 ELSE 0.0 END::DOUBLE AS vrad_floor,
+    NOT coalesce(isfinite(vrad), false) AS r1, NOT coalesce(isfinite(vrad_err), false) OR coalesce(vrad_err <= 0, false) AS r2, coalesce(abs(vrad) > 2000, false) AS r3,
+    NOT coalesce(isfinite(sn_r), false) OR coalesce(sn_r < 5, false) AS r4, NOT success AS r5,
+    NOT coalesce(upper(regexp_replace(rr_spectype, '^\s+|\s+$', '', 'g')) = 'STAR', false) AS r6, NOT coalesce(rvs_warn = 0, false) AS r7,
+    NOT coalesce(isfinite(vsini), false) AS r8, coalesce(isfinite(vsini) AND vsini >= 30, false) AS r9
+  FROM epochs e LEFT JOIN offsets o USING (targetid)
+), judged AS (
+  SELECT *, vrad - vrad_offset AS v, sqrt(vrad_err * vrad_err + vrad_floor * vrad_floor) AS e, NOT (r1 OR r2 OR r3 OR r4 OR r5 OR r6 OR r7 OR r8 OR r9) AS good FROM adopted
+)
+"""
+
+#: Classes need p below 1e-6: from tables for the first degrees of freedom, else by the Wilson-Hilferty cube.
+_SOURCES = (
+    _EPOCHS
+    + """, g AS (
+  SELECT group_id, v, e, mjd, median(v) OVER (PARTITION BY group_id) AS med FROM judged WHERE good
+), sigma AS (
+  SELECT a.group_id, max(abs(a.v - b.v) / sqrt(a.e * a.e + b.e * b.e)) AS max_pair_sigma FROM g a JOIN g b ON a.group_id = b.group_id AND a.v > b.v GROUP BY a.group_id
+), good AS (
+  SELECT group_id, count(*) AS n, sum(v / (e * e)) / sum(1 / (e * e)) AS mean, sum(1 / (e * e)) AS sw, median(v) AS med,
+    1.4826 * quantile_cont(abs(v - med), 0.5) AS mad, max(mjd) - min(mjd) AS baseline FROM g GROUP BY group_id
+), chi AS (SELECT group_id, sum(((v - mean) / e) * ((v - mean) / e)) AS chi2 FROM g JOIN good USING (group_id) GROUP BY group_id),
+raw AS (
+  SELECT group_id, min(group_kind) AS group_kind, min(source_id) AS source_id, count(*) AS n_raw,
+    arg_min(targetid, (coalesce(mjd, 'inf'::DOUBLE), coalesce(expid, 'inf'::DOUBLE), targetid)) FILTER (WHERE targetid IS NOT NULL) AS targetid
+  FROM judged GROUP BY group_id
+), tested AS (
+  SELECT raw.*, coalesce(n, 0) AS n_good, mean, good.med, mad, chi2, greatest(coalesce(n, 0) - 1, 0)::INT AS dof,
+    CASE WHEN n > 1 THEN coalesce(max_pair_sigma, 0) END AS sigma, baseline
+  FROM raw LEFT JOIN good USING (group_id) LEFT JOIN chi USING (group_id) LEFT JOIN sigma USING (group_id)
+), classed AS (
+  SELECT *, CASE WHEN n_good = 0 THEN 'quality_limited' WHEN n_good < 2 THEN 'insufficient_epochs'
+    WHEN sigma >= 5 AND chi2 > CASE dof WHEN 1 THEN 23.9281 WHEN 2 THEN 27.631 WHEN 3 THEN 30.6648 WHEN 4 THEN 33.3768
+      ELSE dof * pow(1 - 2.0 / (9 * dof) + 4.753424 * sqrt(2.0 / (9 * dof)), 3) END THEN 'candidate_variable' ELSE 'stable_like' END AS classification
+  FROM tested
+)
+"""
+)
+
+_PAIRS = (
+    _EPOCHS
+    + r""", plain AS (
+  SELECT *, CASE WHEN cs IN ('', 'NAN') THEN 'UNKNOWN' ELSE cs END AS s, CASE WHEN cp IN ('', 'NAN') THEN 'UNKNOWN' ELSE cp END AS p,
+    coalesce(CAST(expid AS VARCHAR), '0') AS xs, coalesce(CAST(fiber AS VARCHAR), '0') AS fs, coalesce(CAST(targetid AS VARCHAR), '0') AS ts
+  FROM judged WHERE good
+), ranked AS (
+  SELECT *, s || '|' || p || '|' || xs || '|' || fs || '|' || ts AS obs_key, s || '|' || p || '|' || xs AS exposure_key,
+    count(*) OVER (PARTITION BY group_id) AS n,
+    row_number() OVER (PARTITION BY group_id ORDER BY mjd NULLS LAST, expid NULLS LAST, s || '|' || p || '|' || xs || '|' || fs || '|' || ts, vrad, vrad_err, v) - 1 AS k
+  FROM plain
+), sizes AS (SELECT DISTINCT group_id, n, n * (n - 1) // 2 AS np FROM ranked WHERE n > 1),
+chosen AS (
+  SELECT group_id, CASE WHEN np <= 20 THEN i WHEN i = 19 THEN np - 1 ELSE floor(i * ((np - 1)::DOUBLE / 19.0))::BIGINT END AS pos
+  FROM sizes CROSS JOIN range(20) t(i) WHERE np > 20 OR i < np
+), combos AS (
+  SELECT a.group_id, a.n, a.k AS i, b.k AS j, a.k * (2 * a.n - a.k - 1) // 2 + b.k - a.k - 1 AS pos, a AS x, b AS y
+  FROM ranked a JOIN ranked b ON a.group_id = b.group_id AND a.k < b.k
+), made AS (
+  SELECT x, y, x.v - y.v AS d, sqrt(x.e * x.e + y.e * y.e) AS err, x.vrad - y.vrad AS df, sqrt(x.vrad_err * x.vrad_err + y.vrad_err * y.vrad_err) AS ef,
+    CASE WHEN x.p <= y.p THEN 1.0 ELSE -1.0 END AS turn FROM combos JOIN chosen USING (group_id, pos)
+), pairs_made AS (
+  SELECT x.group_id AS group_id, x.group_kind AS group_kind, x.targetid AS targetid_1, y.targetid AS targetid_2,
+    CASE WHEN x.source_id > 0 THEN x.source_id END AS source_id_1, CASE WHEN y.source_id > 0 THEN y.source_id END AS source_id_2,
+    x.obs_key AS obs_key_1, y.obs_key AS obs_key_2, x.exposure_key AS exposure_key_1, y.exposure_key AS exposure_key_2, x.expid AS expid_1, y.expid AS expid_2,
+    x.mjd AS mjd_1, y.mjd AS mjd_2, y.mjd - x.mjd AS delta_days, x.v AS vrad_1, y.v AS vrad_2, d AS delta_vrad, err AS pair_error, d / err AS pair_z,
+    x.vrad AS vrad_formal_1, y.vrad AS vrad_formal_2, df AS delta_vrad_formal, ef AS pair_error_formal, df / ef AS pair_z_formal, least(x.sn_r, y.sn_r) AS sn_r_min,
+    x.p AS program_1, y.p AS program_2, least(x.p, y.p) || ' / ' || greatest(x.p, y.p) AS program_pair, turn * d AS program_delta_vrad, turn * d / err AS program_pair_z,
+    turn * df AS program_delta_vrad_formal, turn * df / ef AS program_pair_z_formal, x.s AS survey_1, y.s AS survey_2, x.fiber AS fiber_1, y.fiber AS fiber_2,
+    x.night AS night_1, y.night AS night_2, x.tileid AS tileid_1, y.tileid AS tileid_2, NULL::DOUBLE AS teff_median, NULL::DOUBLE AS logg_median, NULL::DOUBLE AS feh_median
+  FROM made
+)
+"""
+)
+
+
+def _calibration_sql(group: str | None, z: str, later: bool = False, source: str = "pairs_made") -> str:
+    name, key = (group, group) if group else ("GROUP", "'all'")
+    where = " AND delta_days > 1.0" if later else ""
+    return f"""{_PAIRS if source == "pairs_made" else source}, z AS (SELECT {key} AS k, {z}::DOUBLE AS z FROM {"pairs_made" if source == "pairs_made" else "binned"} WHERE isfinite({z}){where}),
+    m AS (SELECT *, median(z) OVER (PARTITION BY k) AS med FROM z)
+    SELECT k AS "{name}", count(*) AS "N_PAIRS", round(median(z), 5) AS "MEDIAN_Z", round((quantile_cont(z, 0.84) - quantile_cont(z, 0.16)) / 2, 5) AS "ROBUST_WIDTH_Z",
+      round(1.4826 * median(abs(z - med)), 5) AS "MAD_WIDTH_Z", round(quantile_cont(z, 0.16), 5) AS "Q16_Z", round(quantile_cont(z, 0.84), 5) AS "Q84_Z",
+      round(avg((abs(z) > 3)::INT), 5) AS "TAIL_GT_3", round(avg((abs(z) > 5)::INT), 5) AS "TAIL_GT_5", '{z}' AS "Z_COLUMN" FROM m GROUP BY k"""
+
+
+_BINNED = (
+    _PAIRS
+    + """, edges AS (
+  SELECT list_distinct(quantile_cont(sn_r_min, [0.0, 0.16666666666666666, 0.3333333333333333, 0.5, 0.6666666666666666, 0.8333333333333334, 1.0])) AS es
+  FROM pairs_made WHERE isfinite(sn_r_min)
+),
+bins AS (SELECT es[i] AS lo, es[i + 1] AS hi, i FROM (SELECT list_sort(es) AS es, unnest(range(1, len(es))) AS i FROM edges)),
+binned AS (SELECT p.*, printf('(%.3f, %.3f]', lo, hi) AS "SN_R_MIN_BIN" FROM pairs_made p LEFT JOIN bins ON (sn_r_min > lo OR (i = 1 AND sn_r_min >= lo)) AND sn_r_min <= hi)
+"""
+)
+
+_LABELS = r"""
+WITH once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id) AS k FROM pairs WHERE pair_id IS NOT NULL) WHERE k = 1),
+parts AS (SELECT *, list_transform(string_split(upper(regexp_replace(program_pair, '^\s+|\s+$', '', 'g')), '/'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS pp FROM once),
+clean AS (
+  SELECT * EXCLUDE (program_1, program_2, night_1, night_2, program_pair), upper(regexp_replace(program_1, '^\s+|\s+$', '', 'g')) AS program_1, upper(regexp_replace(program_2, '^\s+|\s+$', '', 'g')) AS program_2,
+    nullif(regexp_extract(regexp_replace(night_1, '[\s-]', '', 'g'), '^(\d{8})(\.0*)?$', 1), '') AS night_1,
+    nullif(regexp_extract(regexp_replace(night_2, '[\s-]', '', 'g'), '^(\d{8})(\.0*)?$', 1), '') AS night_2,
+    CASE WHEN len(pp) = 2 AND NOT list_contains(pp, '') THEN array_to_string(list_sort(pp), ' / ') END AS program_pair
+  FROM parts
+), rows AS (
+  SELECT group_id, group_kind, coalesce(nullif(program_1, ''), 'UNKNOWN') || ':' || coalesce(night_1, 'UNKNOWN') AS l1, coalesce(nullif(program_2, ''), 'UNKNOWN') || ':' || coalesce(night_2, 'UNKNOWN') AS l2,
+    program_pair, delta_vrad AS d, pair_error AS err, pair_error_formal AS formal, (('0x' || substr(md5(CAST(group_id AS VARCHAR)), 1, 8))::BIGINT % 5)::INT AS model
+  FROM clean WHERE group_id IS NOT NULL AND isfinite(delta_vrad) AND isfinite(pair_error) AND isfinite(pair_error_formal) AND pair_error > 0 AND pair_error_formal > 0 AND delta_days > 1.0
+), lp AS (SELECT * FROM rows WHERE l1 <> l2),
+ends AS (SELECT model, label, count(*) AS n FROM (SELECT model, l1 AS label FROM lp UNION ALL SELECT model, l2 FROM lp) GROUP BY ALL)
+"""
+
+_PAIR_DOUBLES = {
+    "MJD_1", "MJD_2", "DELTA_DAYS", "SN_R_MIN", "TEFF_MEDIAN", "LOGG_MEDIAN", "FEH_MEDIAN",
+    *[c for c in pairs.PAIR_COLUMNS if c.startswith(("VRAD", "DELTA_VRAD", "PAIR_", "PROGRAM_DELTA", "PROGRAM_PAIR_Z"))],
+}
+
 ORACLES: dict[str, str] = {
     "p1_found": _READINGS,
     "p4_found": _REFERENCES + "SELECT ref_table, obs_id FROM judged WHERE NOT in_force",
@@ -191,4 +325,70 @@ ORACLES: dict[str, str] = {
     ), stated AS (SELECT DISTINCT tileid, run_night, n_backup_epochs_unmatched AS n_unmatched_stated FROM correction_summary)
     SELECT tileid, run_night, n_unmatched_stated, n_backup_epochs_found, n_unmatched_found, n_unmatched_found = n_unmatched_stated AS agrees
     FROM stated FULL JOIN made USING (tileid)""",
+    "epochs": _EPOCHS + 'SELECT obs_id AS "OBS_ID", targetid AS "TARGETID", source_id AS "SOURCE_ID", group_id AS "GROUP_ID", group_kind AS "GROUP_KIND", mjd AS "MJD", vrad AS "VRAD", vrad_err AS "VRAD_ERR" FROM judged',
+    "adopted_velocity": _EPOCHS
+    + 'SELECT obs_id AS "OBS_ID", round(vrad_offset, 5) AS "VRAD_OFFSET", round(vrad_floor, 5) AS "VRAD_FLOOR", round(v, 5) AS "VRAD_ADOPTED", round(e, 5) AS "VRAD_ERR_ADOPTED" FROM judged',
+    "correction_coverage": _EPOCHS
+    + """SELECT count(*) FILTER (WHERE backup) AS "N_BACKUP_EPOCHS", count(*) FILTER (WHERE backup AND matched) AS "N_BACKUP_EPOCHS_MATCHED",
+      count(*) FILTER (WHERE backup AND NOT matched) AS "N_BACKUP_EPOCHS_UNMATCHED", count(*) FILTER (WHERE NOT backup AND matched) AS "N_NON_BACKUP_TARGETID_MATCHES" FROM judged""",
+    "correction_conflicts": """SELECT targetid AS "TARGETID", count(DISTINCT vrad_offset) AS "N_OFFSETS" FROM backup_correction
+      WHERE targetid IS NOT NULL AND vrad_offset IS NOT NULL AND NOT isnan(vrad_offset) GROUP BY targetid HAVING count(DISTINCT vrad_offset) > 1""",
+    "quality_filtered": _EPOCHS + 'SELECT obs_id AS "OBS_ID" FROM judged WHERE good',
+    "rejection_counts": _EPOCHS
+    + """, counts AS (SELECT count(*) AS n, [sum(r1::INT), sum(r2::INT), sum(r3::INT), sum(r4::INT), sum(r5::INT), sum(r6::INT), sum(r7::INT), sum(r8::INT), sum(r9::INT)] AS cs FROM judged),
+      names AS (SELECT ['NONFINITE_RV', 'INVALID_RV_ERROR', 'EXTREME_ABS_RV', 'LOW_SN_R', 'FIT_NOT_SUCCESSFUL', 'NON_STELLAR_RR_SPECTYPE', 'RVS_WARNING', 'MISSING_VSINI', 'HIGH_VSINI'] AS ns)
+      SELECT ns[i] AS "REASON", cs[i]::BIGINT AS "N_REJECTED", round(cs[i] / greatest(n, 1), 5)::DOUBLE AS "FRACTION" FROM counts, names, range(1, 10) t(i)""",
+    "epoch_quality": _EPOCHS
+    + r""", k AS (SELECT *, upper(regexp_replace(survey, '^\s+|\s+$', '', 'g')) AS su, upper(regexp_replace(program, '^\s+|\s+$', '', 'g')) AS pr FROM judged),
+      twice AS (SELECT su, pr, count(*) AS n2 FROM (SELECT su, pr, group_id FROM k WHERE good GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+      all_ AS (SELECT su, pr, count(*) AS a, count(DISTINCT targetid) AS b, count(DISTINCT group_id) AS c, count(*) FILTER (WHERE good) AS d,
+        count(DISTINCT targetid) FILTER (WHERE good) AS e, count(DISTINCT group_id) FILTER (WHERE good) AS f FROM k GROUP BY ALL)
+      SELECT x.su AS "SURVEY", x.pr AS "PROGRAM", a AS "N_EPOCHS_RAW", b AS "N_TARGETIDS_RAW", c AS "N_GROUPS_RAW", d AS "N_EPOCHS_GOOD", e AS "N_TARGETIDS_GOOD", f AS "N_GROUPS_GOOD",
+        coalesce(n2, 0) AS "N_GROUPS_2PLUS_GOOD_EPOCHS", round(d / a, 5) AS "GOOD_EPOCH_FRACTION" FROM all_ x LEFT JOIN twice y ON x.su IS NOT DISTINCT FROM y.su AND x.pr IS NOT DISTINCT FROM y.pr""",
+    "source_summary": _SOURCES
+    + """SELECT group_id, group_kind, source_id, targetid, n_raw AS n_epochs_raw, n_good AS n_epochs_good, round(mean, 3) AS weighted_mean_vrad, round(med, 3) AS median_vrad, round(mad, 3) AS robust_scatter,
+      round(chi2, 3) AS chi2_const, dof, round(sigma, 3) AS max_pair_sigma, round(baseline, 3) AS time_baseline_days, classification FROM classed""",
+    "classification_counts": _SOURCES + "SELECT classification, count(*) AS n_sources FROM classed GROUP BY classification",
+    "strict_candidates": _SOURCES + "SELECT group_id, n_good AS n_epochs_good FROM classed WHERE classification = 'candidate_variable' AND n_good >= 3 AND baseline > 1",
+    "pair_table": _PAIRS
+    + "SELECT "
+    + ", ".join(f'round({c.lower()}, 4) AS "{c}"' if c in _PAIR_DOUBLES else f'{c.lower()} AS "{c}"' for c in pairs.PAIR_COLUMNS)
+    + " FROM pairs_made",
+    "calibration_overall": _calibration_sql(None, "PAIR_Z"),
+    "calibration_overall_formal": _calibration_sql(None, "PAIR_Z_FORMAL"),
+    "calibration_by_program": _calibration_sql("PROGRAM_PAIR", "PROGRAM_PAIR_Z"),
+    "calibration_by_program_formal": _calibration_sql("PROGRAM_PAIR", "PROGRAM_PAIR_Z_FORMAL"),
+    "calibration_interday": _calibration_sql("PROGRAM_PAIR", "PROGRAM_PAIR_Z", True),
+    "calibration_interday_formal": _calibration_sql("PROGRAM_PAIR", "PROGRAM_PAIR_Z_FORMAL", True),
+    "calibration_by_sn": _calibration_sql('"SN_R_MIN_BIN"', "PAIR_Z", source=_BINNED).replace('AS ""SN_R_MIN_BIN""', 'AS "SN_R_MIN_BIN"'),
+    "residual_histogram": _PAIRS
+    + """, z AS (SELECT 'PAIR_Z' AS c, pair_z AS z FROM pairs_made UNION ALL SELECT 'PAIR_Z_FORMAL', pair_z_formal FROM pairs_made),
+      b AS (SELECT c, least(floor((z + 8) / 0.125), 127)::BIGINT AS b, count(*) AS n FROM z WHERE z >= -8 AND z <= 8 GROUP BY ALL)
+      SELECT c AS "Z_COLUMN", b AS "BIN", b * 0.125::DOUBLE - 8 AS "BIN_LOW", n AS "N", round(n / (sum(n) OVER (PARTITION BY c) * 0.125::DOUBLE), 5) AS "DENSITY" FROM b""",
+    "program_pair_counts": _PAIRS
+    + """SELECT count(*) FILTER (WHERE program_1 = 'BACKUP' OR program_2 = 'BACKUP') AS "N_PAIRS_WITH_PROGRAM",
+      count(*) FILTER (WHERE (program_1 = 'BACKUP') <> (program_2 = 'BACKUP')) AS "N_CROSS_PROGRAM_PAIRS" FROM pairs_made""",
+    "report_headline": _PAIRS
+    + """SELECT count(*) AS "N_PAIRS", round(median(pair_z), 5) AS "MEDIAN_Z", round((quantile_cont(pair_z, 0.84) - quantile_cont(pair_z, 0.16)) / 2, 5) AS "ROBUST_WIDTH_Z",
+      round(avg((abs(pair_z) > 5)::INT), 5) AS "TAIL_GT_5" FROM pairs_made WHERE isfinite(pair_z)""",
+    "label_pairs": _LABELS + 'SELECT group_id AS "GROUP_ID", group_kind AS "GROUP_KIND", l1 AS "L1", l2 AS "L2", program_pair AS "PROGRAM_PAIR", round(d, 5) AS d, round(err, 5) AS err, round(formal, 5) AS formal, model FROM lp',
+    "label_endpoint_counts": _LABELS + "SELECT model, label, n FROM ends",
+    "kept_label_pairs": _LABELS
+    + """SELECT model, l1 AS "L1", l2 AS "L2", group_id AS "GROUP_ID", group_kind AS "GROUP_KIND", program_pair AS "PROGRAM_PAIR", round(d, 5) AS d, round(err, 5) AS err, round(formal, 5) AS formal FROM lp
+      WHERE (model, l1) IN (SELECT (model, label) FROM ends WHERE n >= 30) AND (model, l2) IN (SELECT (model, label) FROM ends WHERE n >= 30) AND abs(d / err) <= 5""",
+    "label_pair_sums": _LABELS
+    + """, w AS (SELECT *, 1 / (err * err * count(*) OVER (PARTITION BY model, group_id)) AS w, CASE WHEN l1 <= l2 THEN d ELSE -d END AS dd FROM lp)
+      SELECT model, least(l1, l2) AS "L1", greatest(l1, l2) AS "L2", round(sum(w), 5) AS s0, round(sum(w * dd), 5) AS s1, round(sum(w * dd * dd), 5) AS s2, count(*) AS n FROM w GROUP BY ALL""",
+    "robust_metrics": _LABELS
+    + """, z AS (SELECT program_pair AS p, d, formal * formal AS v, d / formal AS z FROM lp)
+      SELECT p AS "PROGRAM_PAIR", count(*) AS n, round((quantile_cont(d, 0.84) - quantile_cont(d, 0.16)) / 2, 5) AS raw_width, round(median(z), 5) AS median_z,
+        round((quantile_cont(z, 0.84) - quantile_cont(z, 0.16)) / 2, 5) AS width_z, round(avg((abs(z) > 3)::INT), 5) AS tail_3, round(avg((abs(z) > 5)::INT), 5) AS tail_5,
+        round(avg(0.5 * (z * z + ln(2 * pi() * v))), 5) AS loss FROM z GROUP BY p""",
+    "pair_floors": _LABELS
+    + """, own AS (SELECT model, program_pair AS p, count(*) AS n, sqrt(greatest(pow((quantile_cont(d, 0.84) - quantile_cont(d, 0.16)) / 2, 2) - median(formal * formal), 0)) AS f FROM lp GROUP BY ALL),
+      overall AS (SELECT model, sqrt(greatest(pow((quantile_cont(d, 0.84) - quantile_cont(d, 0.16)) / 2, 2) - median(formal * formal), 0)) AS f FROM lp GROUP BY ALL)
+      SELECT own.model, p AS "PROGRAM_PAIR", round(CASE WHEN n >= 30 THEN own.f ELSE overall.f END, 5) AS floor FROM own JOIN overall USING (model)""",
+    "exposure_conflicts": _LABELS
+    + """, x AS (SELECT trim(exposure_key_1) AS k2, coalesce(night_1, '') AS n FROM clean UNION ALL SELECT trim(exposure_key_2), coalesce(night_2, '') FROM clean)
+      SELECT k2 AS "EXPOSURE_KEY", count(DISTINCT n) AS "N_NIGHTS" FROM x GROUP BY k2 HAVING count(DISTINCT n) > 1""",
 }
