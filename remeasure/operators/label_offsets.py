@@ -246,7 +246,7 @@ def half_reproducibility(prepared: DataFrame, rules: OffsetRules = OffsetRules()
     common = joined.groupBy("c0", "c1").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c0", "c1").limit(1)
     rows = joined.join(common.select("c0", "c1"), ["c0", "c1"], "left_semi")
     shift = grouped_quantiles(rows.select(F.lit(0).alias("g"), (F.col("y") - F.col("x")).alias("s")), ["g"], "s", {"shift": 0.5})
-    moved = stored(rows.crossJoin(F.broadcast(shift.select("shift"))).select(F.lit(0).alias("g"), "x", (F.col("y") - F.col("shift")).alias("y")))
+    moved = stored(rows.withColumn("g", F.lit(0)).join(shift, "g").select("g", "x", (F.col("y") - F.col("shift")).alias("y")))
     gap = moved.select("g", (F.col("x") - F.col("y")).alias("d"), F.abs(F.col("x") - F.col("y")).alias("a"))
     spread = grouped_quantiles(gap, ["g"], "d", {"q16": 0.16, "q84": 0.84}).join(grouped_quantiles(gap, ["g"], "a", {"median_abs_difference": 0.5}), "g")
     slope = F.sum(F.col("x") * F.col("y")) / F.greatest(F.sum(F.col("x") ** 2), F.lit(1e-12))
@@ -257,18 +257,20 @@ def half_reproducibility(prepared: DataFrame, rules: OffsetRules = OffsetRules()
 def exposure_nights(pairs: DataFrame, seeds: list[int]) -> DataFrame:
     """(seed, EXPOSURE_KEY, NIGHT): the nights of a program's exposures dealt out anew for each seed.
 
-    Exposures are numbered once by key and once by a hash with the seed, and take the night of
-    the exposure with the same number; a program with one exposure keeps its night. If an exposure
-    has several nights, the smallest counts. Numbering is spread over 64 slots of each program.
+    Exposures are numbered once by the md5 of the key and once by that of seed and key, and take the
+    night of the exposure with the same number; a program with one exposure keeps its night. If an
+    exposure has several nights, the smallest counts. Numbering is spread over 256 slots of each program.
     """
     ends = [pairs.select(F.trim(f"EXPOSURE_KEY_{k}").alias("EXPOSURE_KEY"), F.col(f"PROGRAM_{k}").alias("PROGRAM"), F.col(f"NIGHT_{k}").cast("string").alias("NIGHT")) for k in (1, 2)]
     exposures = stored(ends[0].unionByName(ends[1]).groupBy("EXPOSURE_KEY").agg(F.min("PROGRAM").alias("PROGRAM"), F.min("NIGHT").alias("NIGHT")).where("PROGRAM is not null"))
     seeded = exposures.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    by_key = numbered(seeded, ["seed", "PROGRAM"], F.pmod(F.xxhash64("EXPOSURE_KEY"), F.lit(64)), [F.col("EXPOSURE_KEY")])
-    mixed = F.xxhash64("seed", "EXPOSURE_KEY")
-    by_seed = numbered(seeded.withColumn("mixed", mixed), ["seed", "PROGRAM"], F.pmod("mixed", F.lit(64)), [F.col("mixed"), F.col("EXPOSURE_KEY")])
-    a = by_key.select("seed", "PROGRAM", "place", "EXPOSURE_KEY")
-    b = by_seed.select("seed", "PROGRAM", "place", "NIGHT")
+
+    def mixed(name: Column) -> DataFrame:
+        rows = seeded.withColumn("mixed", F.md5(name))
+        return numbered(rows, ["seed", "PROGRAM"], F.substring("mixed", 1, 2), [F.col("mixed"), F.col("EXPOSURE_KEY")])
+
+    a = mixed(F.col("EXPOSURE_KEY")).select("seed", "PROGRAM", "place", "EXPOSURE_KEY")
+    b = mixed(F.concat_ws("|", F.col("seed").cast("string"), F.col("EXPOSURE_KEY"))).select("seed", "PROGRAM", "place", "NIGHT")
     return a.join(b, ["seed", "PROGRAM", "place"]).select("seed", "EXPOSURE_KEY", "NIGHT")
 
 
@@ -295,8 +297,8 @@ def run_experiment(pairs: DataFrame, rules: OffsetRules = OffsetRules(), permuta
     prepared = stored(prepare(pairs, rules))
     out = run_folds(prepared, rules)
     gaia = F.count_if(F.col("GROUP_KIND") == "GAIA_SOURCE_ID")
-    counts = prepared.agg(F.count("*").alias("n_label_pairs"), gaia.alias("n_gaia_group_pairs"), (gaia / F.greatest(F.count("*"), F.lit(1))).alias("gaia_group_pair_fraction"))
-    out["summary"] = out["summary"].crossJoin(F.broadcast(counts))  # one row
+    counts = prepared.groupBy(F.lit(0).alias("g")).agg(F.count("*").alias("n_label_pairs"), gaia.alias("n_gaia_group_pairs"), (gaia / F.greatest(F.count("*"), F.lit(1))).alias("gaia_group_pair_fraction"))
+    out["summary"] = out["summary"].withColumn("g", F.lit(0)).join(counts, "g", "left").drop("g")
     out["reproducibility"] = half_reproducibility(prepared, rules)
     if permutations > 0:
         out["permutations"] = permutation_control(pairs, permutations, rules)

@@ -391,4 +391,9 @@ ORACLES: dict[str, str] = {
     "exposure_conflicts": _LABELS
     + """, x AS (SELECT trim(exposure_key_1) AS k2, coalesce(night_1, '') AS n FROM clean UNION ALL SELECT trim(exposure_key_2), coalesce(night_2, '') FROM clean)
       SELECT k2 AS "EXPOSURE_KEY", count(DISTINCT n) AS "N_NIGHTS" FROM x GROUP BY k2 HAVING count(DISTINCT n) > 1""",
+    "exposure_nights": _LABELS
+    + """, x AS (SELECT trim(exposure_key_1) AS k2, program_1 AS p, night_1 AS n FROM clean UNION ALL SELECT trim(exposure_key_2), program_2, night_2 FROM clean),
+      e AS (SELECT k2, min(p) AS p, min(n) AS n FROM x GROUP BY k2 HAVING min(p) IS NOT NULL),
+      s AS (SELECT seed::INT AS seed, e.*, row_number() OVER (PARTITION BY seed, p ORDER BY md5(k2), k2) AS a, row_number() OVER (PARTITION BY seed, p ORDER BY md5(seed || '|' || k2), k2) AS b FROM e CROSS JOIN range(2) t(seed))
+      SELECT x.seed, x.k2 AS "EXPOSURE_KEY", y.n AS "NIGHT" FROM s x JOIN s y ON x.seed = y.seed AND x.p = y.p AND x.a = y.b""",
 }
