@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remeasure.functions.columns import is_finite, is_reading
+from remeasure.session import stored
 
 
 @dataclass(frozen=True)
@@ -242,7 +243,7 @@ def flag_readings(rvtab: DataFrame, pairs: DataFrame, rules: SpikeRules = SpikeR
     Sources are hashed over tasks; one with more than PIECE readings is cut into pieces, so none
     of them fills a task.
     """
-    rows = readings(rvtab, pairs, rules)
+    rows = stored(readings(rvtab, pairs, rules))
     known = _in_pieces(rows.where("source is not null"))
     columns = ["field", "source", "piece", "rec_id", "value", "is_impossible", "own", "center", "spread", "n_finite"]
     ordered = known.repartition("field", "source", "piece").sortWithinPartitions("field", "source", "piece", "at", "rec_id").select(*columns)
