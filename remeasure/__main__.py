@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from remeasure.operators import pairs
 from remeasure.operators.label_offsets import OffsetRules
 from remeasure.plans import pipeline, report
 from remeasure.sources import download, readers
@@ -22,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--correction")
     analyze.add_argument("--correction-md5", default="")
     analyze.add_argument("--max-rows", type=int)
-    analyze.add_argument("--cap", type=int, default=20)
+    analyze.add_argument("--cap", type=int, default=pairs.DEFAULT_CAP)
     analyze.add_argument("--strict", action="store_true")
     analyze.add_argument("--lite", action="store_true")
     analyze.add_argument("--labels", action="store_true", help="test label offsets on held-out sources")

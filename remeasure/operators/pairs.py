@@ -9,7 +9,7 @@ from remeasure.functions.columns import clean_or_unknown
 from remeasure.functions.ranks import numbered
 from remeasure.operators.summary import error_column, value_column
 
-DEFAULT_CAP = 20
+DEFAULT_CAP = 50
 #: Columns of the pair table that each end brings in, as (name, source column).
 _ENDS = ("TARGETID", "SOURCE_ID", "EXPID", "MJD", "FIBER", "NIGHT", "TILEID")
 PAIR_COLUMNS = """GROUP_ID GROUP_KIND TARGETID_1 TARGETID_2 SOURCE_ID_1 SOURCE_ID_2 OBS_KEY_1 OBS_KEY_2 EXPOSURE_KEY_1 EXPOSURE_KEY_2

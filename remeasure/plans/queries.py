@@ -22,6 +22,8 @@ def _on(names: str, f: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf_dir: f(*[table(spark, sf_dir, n) for n in names.split()])
 
 
+#: The cap that the SQL of the pair queries is written for; ``pairs.DEFAULT_CAP`` is higher.
+SQL_CAP = 20
 #: Labels need this many pairs on the test tables, which are small for the default.
 TEST_RULES = OffsetRules(min_pairs_per_label=30)
 
@@ -45,7 +47,7 @@ def adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.epoch_pairs(adopted(spark, sf_dir))
+    return pairs.epoch_pairs(adopted(spark, sf_dir), SQL_CAP)
 
 
 def delivered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The reference's own assertions and further cases, on inline tables."""
 
 import gzip
+import inspect
 import json
 import math
 import struct
@@ -110,6 +111,17 @@ def test_capped_places_equal_linspace(spark, cap):
         assert sorted(found[n]) == [(int(p), int(every[p][0]), int(every[p][1])) for p in at]
 
 
+def test_default_cap_is_that_of_the_reference(spark):
+    from remeasure.__main__ import parser
+
+    # 12 epochs have 66 pairs, 8 have 28: more than 20 of both are made, and all of the smaller group
+    rows = [(g, 1.0 * k, 1.0, 1.0 * k) for g, n in ((1, 12), (2, 8)) for k in range(n)]
+    epochs = spark.createDataFrame(rows, "TARGETID long, VRAD double, VRAD_ERR double, MJD double")
+    assert {r.GROUP_ID: r["count"] for r in pairs.epoch_pairs(epochs).groupBy("GROUP_ID").count().collect()} == {1: 50, 2: 28}
+    assert inspect.signature(pipeline.run_audit).parameters["cap"].default == 50
+    assert parser().parse_args(["analyze", "x.csv", "--output", "y"]).cap == 50
+
+
 def test_quantiles_of_large_groups_are_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(k, float(v)) for k in (None, 1, 2) for v in rng.normal(0, 1, 900 if k != 2 else 30)] + [(1, 0.25)] * 400 + [(1, None), (1, float("nan")), (3, float("inf"))]
