@@ -4,7 +4,8 @@ Method: component swap search. Entities are connected components of the records'
 start in the split that a hash of their name picks, in proportion to the targets. Then blocks
 of whole entities are annealed in parallel tasks: single entities move to another split or two
 entities change places, so that size and label shares come close to the targets. Every chain's
-best state is kept, and rounds go on with what deviation is left over all blocks.
+best state is kept, and rounds go on with what deviation is left over all blocks. Labels are
+sparse rows (entity, label, n), so that all of them count, however many there are.
 """
 
 from __future__ import annotations
@@ -54,52 +55,73 @@ def fold_conflicts(pairs: DataFrame) -> DataFrame:
     return groups.join(mixed.select("entity"), "entity", "left_semi").select("group_id")
 
 
-def _energy(totals: np.ndarray, aims: np.ndarray, weight: float) -> float:
-    """Squared deviation of sizes plus ``weight`` times that of the labels; totals and aims are splits x (size, labels...)."""
-    gap = (totals - aims) / max(aims[:, 0].sum(), 1.0)
-    return float((gap[:, 0] ** 2).sum() + weight * (gap[:, 1:] ** 2).sum())
-
-
-def _anneal(sizes: np.ndarray, start: np.ndarray, aims: np.ndarray, steps: int, weight: float, seed: int) -> tuple[np.ndarray, float]:
-    """The best split of each entity that one chain finds; sizes is entities x (size, labels...).
+class _Block:
+    """The entities of one block as sparse rows: an entity has its size (feature 0) and the labels it has, no others."""
+
+    def __init__(self, pdf: pd.DataFrame, k: int, weight: float):
+        pdf = pdf.sort_values(["entity", "label"], kind="stable")
+        self.entities, first = np.unique(pdf["entity"].to_numpy(object), return_index=True)
+        labels, one, feature = np.unique(pdf["label"].to_numpy(object), return_index=True, return_inverse=True)
+        n = pdf["n"].to_numpy(float)
+        sizes = np.add.reduceat(n, first)
+        self.at = pdf["at"].to_numpy(np.int64)[first]
+        # feature 0 goes before the labels of its entity
+        self.index = np.split(np.insert(feature + 1, first, 0), first[1:] + np.arange(1, len(first)))
+        self.value = np.split(np.insert(n, first, sizes), first[1:] + np.arange(1, len(first)))
+        self.sizes, self.scale, self.root = sizes, max(sizes.sum(), 1.0), np.sqrt(np.append(1.0, np.full(len(labels), weight)))
+        whole = np.zeros(len(labels) + 1)
+        for index, value in zip(self.index, self.value):
+            whole[index] += value
+        # this block sets right its part of what is out of proportion over all blocks, by its share of each label
+        over = np.vstack([pdf["size_over"].iloc[0], np.stack(list(pdf["label_over"].iloc[one]))])
+        self.gap = (over.astype(float).T * whole) * self.root / self.scale
+        self.value = [value * self.root[index] / self.scale for index, value in zip(self.index, self.value)]
+        self.norms = np.array([value @ value for value in self.value])
+        assert self.gap.shape == (k, len(labels) + 1)
+
+
+def _anneal(block: _Block, steps: int, seed: int) -> tuple[np.ndarray, float]:
+    """The best split of each entity of a block that one chain finds, and its energy: the squared deviation of sizes and weighted labels.
 
     A step proposes to move an entity or to exchange two of different splits; the energy is
-    quadratic, so a proposal's change needs only the rows of two splits.
+    quadratic, so a proposal's change needs only the labels of these entities in two splits.
     """
     random = np.random.default_rng(seed)
-    k, n = len(aims), len(sizes)
-    scale = max(aims[:, 0].sum(), 1.0)
-    weights = np.array([1.0] + [weight] * (sizes.shape[1] - 1))
-    gap = np.zeros_like(aims)
-    np.add.at(gap, start, sizes)
-    gap = (gap - aims) / scale
-    unit = sizes / scale
-    state, best = start.copy(), start.copy()
-    energy = lowest = float((gap**2 * weights).sum())
+    gap, index, value, norms = block.gap.copy(), block.index, block.value, block.norms
+    k, n = len(gap), len(index)
+    full = np.zeros(gap.shape[1])
+    state, best = block.at.copy(), block.at.copy()
+    energy = lowest = float((gap**2).sum())
     heat = max(energy, 1e-12) / 10
     cooling = (1e-6) ** (1.0 / max(steps, 1))
     # half of the proposals prefer large entities, which matter most for the sizes
-    order = np.argsort(-sizes[:, 0], kind="stable")
+    order = np.argsort(-block.sizes, kind="stable")
     draws = random.integers(0, n, (steps, 2))
     heavy = order[(random.random((steps, 2)) ** 3 * n).astype(int)]
     draws = np.where(random.random((steps, 1)) < 0.5, draws, heavy)
     kinds, luck, aside = random.random(steps), random.random(steps), random.integers(1, max(k, 2), steps)
     for step in range(steps):
         i, j = draws[step]
-        a = state[i]
-        if kinds[step] < 0.5:
-            b, moved = (a + aside[step]) % k, unit[i]
-        else:
-            b, moved = state[j], unit[i] - unit[j]
+        a, exchange = state[i], kinds[step] >= 0.5
+        b = state[j] if exchange else (a + aside[step]) % k
         heat *= cooling
         if a == b:
             continue
-        change = float((weights * (2 * moved * (gap[b] - gap[a]) + 2 * moved**2)).sum())
+        near, own = index[i], value[i]
+        change = own @ (gap[b, near] - gap[a, near]) + norms[i]
+        if exchange:
+            far, its = index[j], value[j]
+            full[near] = own
+            change += norms[j] - 2 * (its @ full[far]) - its @ (gap[b, far] - gap[a, far])
+            full[near] = 0.0
+        change = 2 * float(change)
         if change < 0 or luck[step] < np.exp(-change / heat):
-            gap[a] -= moved
-            gap[b] += moved
+            gap[a, near] -= own
+            gap[b, near] += own
             state[i] = b
-            if kinds[step] >= 0.5:
+            if exchange:
+                gap[a, far] += its
+                gap[b, far] -= its
                 state[j] = a
             energy += change
             if energy < lowest:
@@ -107,18 +129,14 @@ def _anneal(sizes: np.ndarray, start: np.ndarray, aims: np.ndarray, steps: int,
     return best, lowest
 
 
-def _block_search(features: list[str], over: np.ndarray, steps: int, chains: int, weight: float, turn: int):
-    """The annealing of one block; ``over`` is what splits have too much, for each record."""
+def _block_search(k: int, steps: int, chains: int, weight: float, turn: int):
+    """The annealing of one block, whose rows are (entity, label, n, at) with what splits have too much, for each record."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entity", kind="stable")
-        sizes, at = pdf[features].to_numpy(float), pdf["at"].to_numpy(np.int64)
-        here = np.zeros(over.shape)
-        np.add.at(here, at, sizes)
-        # this block sets right its part of what is out of proportion over all blocks
-        aims = here - over * sizes[:, 0].sum()
-        tried = [_anneal(sizes, at, aims, steps, weight, 1000 * turn + chain) for chain in range(chains)]
-        return pdf.assign(at=min(tried, key=lambda x: x[1])[0].astype("int32"))
+        block = _Block(pdf, k, weight)
+        tried = [_anneal(block, steps, 1000 * turn + chain) for chain in range(chains)]
+        best = min(tried, key=lambda x: x[1])[0].astype("int32")
+        return pdf[["entity", "label", "n"]].assign(at=best[np.searchsorted(block.entities, pdf["entity"].to_numpy(object))])
 
     return search
 
@@ -144,9 +162,10 @@ def assign_splits(
     too, they count as one entity. Repeated rows count as often as they occur. No rows give no
     rows. An existing column named entity or split is replaced.
 
-    Entities are spread by hash over blocks of about ``block``; a block is one task, which runs
-    ``chains`` annealing chains from different seeds and keeps the best. Between rounds only the
-    totals of splits and labels come to the driver (labels beyond the 30 most frequent count as one).
+    Every label counts. Entities are spread by hash over blocks of about ``block``; a block is one
+    task, which runs ``chains`` annealing chains from different seeds and keeps the best. It holds
+    one row for each label of each of its entities. Between rounds labels are totalled in Spark;
+    only the totals of the splits and the energy come to the driver.
     """
     names = sorted(shares)
     parts = np.array([shares[s] for s in names], dtype=float)
@@ -158,41 +177,39 @@ def assign_splits(
     node = F.coalesce(*_nodes(spaces), F.concat(F.lit("r:"), F.coalesce(F.col(record_id).cast("string"), F.lit(""))))
     marked = records.withColumn("_node", node)
     counts = stored(marked.groupBy(F.col("_node").alias("node"), label.alias("label")).agg(F.count("*").alias("n")))
-    top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(30).collect()]
-    known = [F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).cast("double").alias(f"l{i}") for i, name in enumerate(top)]
-    sized = counts.join(keys, "node", "left").withColumn("entity", F.coalesce("component", "node")).groupBy("entity")
-    sized = sized.agg(F.sum("n").cast("double").alias("l"), *known)
-    features = ["l", *[f"l{i}" for i in range(len(top))]]
+    sized = counts.join(keys, "node", "left").withColumn("entity", F.coalesce("component", "node")).groupBy("entity", "label").agg(F.sum("n").cast("double").alias("n"))
     draw = F.pmod(F.xxhash64("entity", F.lit("split")), F.lit(1_000_000)) / 1_000_000.0
     edges = np.cumsum(parts)[:-1]
     first = reduce(lambda c, i: c + (draw >= float(edges[i])).cast("int"), range(len(edges)), F.lit(0))
     state = stored(sized.withColumn("at", first))
-
-    def totals(df: DataFrame) -> np.ndarray:
-        out = np.zeros((len(names), len(features)))
-        for r in df.groupBy("at").agg(*[F.sum(c).alias(c) for c in features]).collect():
-            out[r["at"]] = [r[c] for c in features]
-        return out
-
-    def energy(found: np.ndarray) -> float:
-        return _energy(found, parts[:, None] * found.sum(axis=0), label_weight)
-
-    n = state.count()
+    shares_of = [float(p) for p in parts]
+
+    def totals(df: DataFrame) -> tuple[np.ndarray, DataFrame, float]:
+        """What each split has too much for each record; the same of each label (label, label_over); the energy."""
+        held = [F.sum(F.when(F.col("at") == s, F.col("n")).otherwise(0.0)).alias(f"n{s}") for s in range(len(names))]
+        each = df.groupBy("label").agg(F.sum("n").alias("n"), *held)
+        gaps = [F.col(f"n{s}") - F.lit(p) * F.col("n") for s, p in enumerate(shares_of)]
+        each = stored(each.select("label", *[f"n{s}" for s in range(len(names))], F.array(*[g / F.col("n") for g in gaps]).alias("label_over"), sum((g * g for g in gaps), F.lit(0.0)).alias("squares")))
+        row = each.agg(F.sum("squares").alias("squares"), *[F.sum(f"n{s}").alias(f"n{s}") for s in range(len(names))]).first()
+        sizes = np.array([row[f"n{s}"] or 0.0 for s in range(len(names))])
+        over = (sizes - parts * sizes.sum()) / max(sizes.sum(), 1.0)
+        return over, each.select("label", "label_over"), float((over**2).sum() + label_weight * (row["squares"] or 0.0) / max(sizes.sum(), 1.0) ** 2)
+
+    n = state.agg(F.approx_count_distinct("entity")).first()[0]
     blocks = max(1, -(-n // block))
-    best, found = state, totals(state)
-    lowest = energy(found)
+    best = state
+    over, label_over, lowest = totals(state)
     for turn in range(rounds if n else 0):
-        over = found - parts[:, None] * found.sum(axis=0)
-        search = _block_search(features, over / max(found[:, 0].sum(), 1.0), steps, chains, label_weight, turn)
+        search = _block_search(len(names), steps, chains, label_weight, turn)
         # another hash each round: entities meet other entities
-        spread = best.withColumn("block", F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(blocks)))
-        state = stored(spread.groupBy("block").applyInPandas(search, spread.schema).drop("block"))
-        now = totals(state)
-        if energy(now) >= lowest:
+        spread = best.join(label_over, "label").withColumns({"block": F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(blocks)), "size_over": F.array(*[F.lit(float(x)) for x in over])})
+        state = stored(spread.groupBy("block").applyInPandas(search, best.select("entity", "label", "n", "at").schema))
+        now, label_now, energy = totals(state)
+        if energy >= lowest:
             break
-        best, found, lowest = state, now, energy(now)
+        best, over, label_over, lowest = state, now, label_now, energy
     named = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("at") + 1)
-    places = best.select("entity", named.alias("split"))
+    places = best.select("entity", named.alias("split")).distinct()
     nodes = counts.select("node").distinct().join(keys, "node", "left").select("node", F.coalesce("component", "node").alias("entity"))
     placed = nodes.join(places, "entity").withColumnRenamed("node", "_node")
     return marked.join(placed, "_node").select(*records.columns, "entity", "split")

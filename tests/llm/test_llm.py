@@ -111,6 +111,23 @@ def test_splits_keep_entities_and_meet_shares(spark):
     assert splits.assign_splits(df.limit(0), {"train": 1.0}).count() == 0
 
 
+def test_splits_balance_labels_beyond_the_commonest(spark):
+    r = Random(6)
+    # 30 common labels, and 20 rare ones that some entities have
+    rows = [(i, r.randrange(900), f"c{r.randrange(30)}") for i in range(9000)]
+    rows += [(9000 + i, (37 * i) % 900, f"r{i % 20}") for i in range(800)]
+    df = spark.createDataFrame(rows, "pair_id long, group_id long, label string")
+    target = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    spaces = {"g": ("group_id",)}
+    out = splits.assign_splits(df, target, spaces, label=F.col("label"), block=1000, label_weight=1.0).collect()
+    assert len(out) == len(rows)
+    rare = Counter((x.label, x.split) for x in out if x.label.startswith("r"))
+    # 40 records of each rare label: 32, 4 and 4
+    assert sum(abs(rare[f"r{k}", s] - 40 * share) for k in range(20) for s, share in target.items()) < 80
+    shares = Counter(x.split for x in out)
+    assert abs(shares["train"] / len(out) - 0.8) < 0.005
+
+
 def test_distinct_counts(spark):
     r = Random(5)
     rows = [(None if r.random() < 0.05 else 7 if r.random() < 0.3 else r.randrange(500), r.choice(["20210501", "20210502", "20210603", None]), r.choice(["A", "B", "C", None])) for _ in range(900)]
