@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from remeasure.operators import pairs
-from remeasure.operators.label_offsets import OffsetRules
+from remeasure.operators.label_offsets import DEFAULT_PERMUTATIONS, OffsetRules
 from remeasure.plans import pipeline, report
 from remeasure.sources import download, readers
 
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--strict", action="store_true")
     analyze.add_argument("--lite", action="store_true")
     analyze.add_argument("--labels", action="store_true", help="test label offsets on held-out sources")
-    analyze.add_argument("--permutations", type=int, default=0)
+    analyze.add_argument("--permutations", type=int, default=DEFAULT_PERMUTATIONS, help="shuffles of nights with --labels")
     analyze.add_argument("--min-pairs-per-label", type=int, default=200)
     again = commands.add_parser("report")
     again.add_argument("folder")

@@ -19,6 +19,10 @@ from remeasure.functions.ranks import grouped_quantiles, numbered, same
 from remeasure.session import stored
 
 
+#: Shuffles of a null distribution.
+DEFAULT_PERMUTATIONS = 20
+
+
 @dataclass(frozen=True)
 class OffsetRules:
     min_delta_days: float = 1.0
@@ -280,7 +284,7 @@ def exposure_conflicts(pairs: DataFrame) -> DataFrame:
     return ends[0].unionByName(ends[1]).groupBy("EXPOSURE_KEY").agg(F.countDistinct("NIGHT").alias("N_NIGHTS")).where("N_NIGHTS > 1")
 
 
-def permutation_control(pairs: DataFrame, permutations: int, rules: OffsetRules = OffsetRules()) -> DataFrame:
+def permutation_control(pairs: DataFrame, permutations: int = DEFAULT_PERMUTATIONS, rules: OffsetRules = OffsetRules()) -> DataFrame:
     """The fold summaries of ``permutations`` shuffles of nights among a program's exposures, all in the same jobs."""
     nights = stored(exposure_nights(pairs, list(range(permutations))))
     rows = pairs.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in range(permutations)])))
@@ -292,7 +296,7 @@ def permutation_control(pairs: DataFrame, permutations: int, rules: OffsetRules
     return summary.withColumn("CONTROL", F.lit("SHUFFLED_EXPOSURE_NIGHT_WITHIN_PROGRAM"))
 
 
-def run_experiment(pairs: DataFrame, rules: OffsetRules = OffsetRules(), permutations: int = 0) -> dict[str, DataFrame]:
+def run_experiment(pairs: DataFrame, rules: OffsetRules = OffsetRules(), permutations: int = DEFAULT_PERMUTATIONS) -> dict[str, DataFrame]:
     """{'summary', 'by_program', 'offsets', 'reproducibility', 'permutations'} of one pair table."""
     prepared = stored(prepare(pairs, rules))
     out = run_folds(prepared, rules)

@@ -36,7 +36,7 @@ def run_audit(
     rules: QualityRules = QualityRules(),
     cap: int = pairs.DEFAULT_CAP,
     label_rules: OffsetRules | None = None,
-    permutations: int = 0,
+    permutations: int = label_offsets.DEFAULT_PERMUTATIONS,
 ) -> Audit:
     """Every table of an audit of ``epochs``; stages that others build on are written once and timed."""
     timings: dict[str, float] = {}

@@ -128,7 +128,7 @@ QUERIES: dict[str, Query] = {
     "fold_by_program": _experiment("by_program"),
     "fold_offsets": _experiment("offsets"),
     "half_reproducibility": lambda spark, d: label_offsets.half_reproducibility(label_offsets.prepare(delivered_pairs(spark, d), TEST_RULES), TEST_RULES),
-    "permutation_control": lambda spark, d: label_offsets.permutation_control(delivered_pairs(spark, d), 2, TEST_RULES),
+    "permutation_control": lambda spark, d: label_offsets.permutation_control(delivered_pairs(spark, d), rules=TEST_RULES),
     "zero_point_summary": _zero_points("summary"),
     "zero_point_offsets": _zero_points("offsets"),
 }

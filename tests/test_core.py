@@ -166,6 +166,24 @@ def test_label_offsets_narrow_held_out_pairs(spark):
     assert out["permutations"].count() == 2
 
 
+def test_twenty_permutations_by_default(spark, monkeypatch):
+    from conftest import DATA
+
+    from remeasure.__main__ import parser
+    from remeasure.plans.queries import QUERIES
+
+    assert parser().parse_args(["analyze", "x.csv", "--output", "y"]).permutations == 20
+    assert inspect.signature(pipeline.run_audit).parameters["permutations"].default == 20
+    seeds = []
+    monkeypatch.setattr(label_offsets, "exposure_nights", lambda df, s, f=label_offsets.exposure_nights: seeds.append(s) or f(df, s))
+    monkeypatch.setattr(label_offsets, "run_folds", lambda prepared, *_: {name: prepared for name in ("summary", "by_program", "offsets")})
+    monkeypatch.setattr(label_offsets, "half_reproducibility", lambda prepared, *_: prepared)
+    shuffled = label_offsets.run_experiment(label_pairs(spark))["permutations"]
+    assert shuffled.select("seed").distinct().count() == 20
+    QUERIES["permutation_control"](spark, DATA)
+    assert seeds == [list(range(20))] * 2
+
+
 def test_solution_meets_the_normal_equations():
     import pandas as pd
 
