@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from remeasure.functions.columns import is_finite
+from remeasure.functions.columns import finite
 from remeasure.session import stored
 
 #: Groups of up to so many values are aggregated whole; larger ones are cut at 199 splitters.
@@ -36,42 +36,57 @@ def numbered(df: DataFrame, keys: list[str], slot: Column, order: list[Column])
     return joined.select("r.*", "s.group_size", (F.col("s._start") + F.col("r._place")).alias("place")).drop("_slot", "_place")
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], whole: int = WHOLE_GROUP) -> DataFrame:
-    """(keys..., one column for each of ``quantiles``): exact, linearly interpolated quantiles of the finite values.
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], whole: int = WHOLE_GROUP, kept: bool = False) -> DataFrame:
+    """(keys..., one column for each of ``quantiles``): exact, linearly interpolated quantiles of the finite values."""
+    return column_quantiles(df, keys, {value: quantiles}, whole, kept)
 
-    Groups without finite values have no row; null keys are a group. Groups of up to ``whole``
-    values use the built-in aggregate. For larger ones sketches give splitters, only the counts
-    between splitters are summed up, and the values next to a wanted rank alone are sorted.
+
+def column_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]], whole: int = WHOLE_GROUP, kept: bool = False) -> DataFrame:
+    """(keys..., one column for each name in ``wanted``), where wanted is {column: {name: quantile}}.
+
+    Quantiles are exact, linearly interpolated and taken over the finite values of their column,
+    null where a group has none there. Groups without any finite value have no row; null keys are
+    a group. Rows are written once, unless ``kept`` says that they can be read again as they are.
+
+    Groups of up to ``whole`` rows use the built-in aggregate, all columns at once. For larger ones
+    sketches give splitters, only the counts between splitters are summed up, and the values next
+    to a wanted rank alone are sorted.
     """
-    rows = stored(df.select(*keys, F.col(value).cast("double").alias("_v")).where(is_finite(F.col("_v"))))
+    columns = list(wanted)
+    rows = df.select(*keys, *[finite(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)])
+    rows = rows.where(reduce(lambda a, b: a | b, [F.col(f"_v{i}").isNotNull() for i in range(len(columns))]))
+    rows = rows if kept else stored(rows)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = stored(sizes.where(F.col("_n") > whole))
-    names = list(quantiles)
-    picked = [F.col("_q")[i].alias(name) for i, name in enumerate(names)]
-    aggregate = F.percentile("_v", F.array(*[F.lit(float(q)) for q in quantiles.values()])).alias("_q")
-    if large.isEmpty():
-        return rows.groupBy(*keys).agg(aggregate).select(*keys, *picked)
-    marked = rows.alias("r").join(large.alias("l"), same("r", "l", keys), "left")
-    small = marked.where(F.col("l._n").isNull()).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r._v")
-    small = small.groupBy(*keys).agg(aggregate).select(*keys, *picked)
-    big = marked.where(F.col("l._n").isNotNull()).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r._v", "l._n")
-    cuts = big.groupBy(*keys).agg(F.percentile_approx("_v", _SPLITTERS, 4000).alias("_cuts"))
-    cuts = cuts.withColumn("_cuts", F.array_distinct("_cuts"))
-    cut = big.alias("b").join(cuts.alias("c"), same("b", "c", keys)).select("b.*", F.size(F.filter("c._cuts", lambda x: x < F.col("b._v"))).alias("_slot"))
-    cut = stored(cut.groupBy(*keys, "_n", "_slot", "_v").agg(F.count("*").alias("_m")))
-    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    spans = cut.groupBy(*keys, "_n", "_slot").agg(F.sum("_m").alias("_m")).withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()]))
-    spans = spans.withColumn("_w", wanted).withColumn("_at", F.col("_w.q") * (F.col("_n") - 1))
+    aggregates = [F.percentile(f"_v{i}", F.array(*[F.lit(float(q)) for q in wanted[c].values()])).alias(f"_q{i}") for i, c in enumerate(columns)]
+    picked = [F.col(f"_q{i}")[k].alias(name) for i, c in enumerate(columns) for k, name in enumerate(wanted[c])]
+    small = lambda some: some.groupBy(*keys).agg(*aggregates).select(*keys, *picked)
+    if rows.count() <= whole or (sizes.agg(F.max("_n")).first()[0] or 0) <= whole:
+        return small(rows)
+    large = stored(sizes.where(F.col("_n") > whole).select(*keys, F.lit(True).alias("_large")))
+    marked = rows.alias("r").join(large.alias("l"), same("r", "l", keys), "left").select("r.*", "_large")
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_v")) for i in range(len(columns))]))
+    long = stored(marked.where("_large").select(*keys, each).where("_v is not null"))
+    return small(marked.where("_large is null")).unionByName(_long_quantiles(long, keys, list(wanted.values())))
+
+
+def _long_quantiles(long: DataFrame, keys: list[str], wanted: list[dict[str, float]]) -> DataFrame:
+    """The quantiles of groups of any size; ``long`` has the keys, _c (number of the column) and _v."""
+    by = [*keys, "_c"]
+    sizes = stored(long.groupBy(*by).agg(F.count("*").alias("_n"), F.array_distinct(F.percentile_approx("_v", _SPLITTERS, 4000)).alias("_cuts")))
+    cut = long.alias("b").join(sizes.alias("c"), same("b", "c", by)).select("b.*", "c._n", F.size(F.filter("c._cuts", lambda x: x < F.col("b._v"))).alias("_slot"))
+    cut = stored(cut.groupBy(*by, "_n", "_slot", "_v").agg(F.count("*").alias("_m")))
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    spans = cut.groupBy(*by, "_n", "_slot").agg(F.sum("_m").alias("_m")).withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for i, names in enumerate(wanted) for n, q in names.items()]))
+    spans = spans.withColumn("_w", each).where("_w.c = _c").withColumn("_at", F.col("_w.q") * (F.col("_n") - 1))
     low, high = F.floor("_at"), F.least(F.floor("_at") + 1, F.col("_n") - 1)
     touched = spans.where((low < F.col("_start") + F.col("_m")) & (high >= F.col("_start")))
-    run = Window.partitionBy(*[f"c.{k}" for k in keys], "c._slot", "s._w.name").orderBy("c._v").rowsBetween(Window.unboundedPreceding, 0)
-    near = cut.alias("c").join(touched.alias("s"), same("c", "s", [*keys, "_slot"])).withColumn("_to", F.col("s._start") + F.sum("c._m").over(run))
+    run = Window.partitionBy(*[f"c.{k}" for k in by], "c._slot", "s._w.name").orderBy("c._v").rowsBetween(Window.unboundedPreceding, 0)
+    near = cut.alias("c").join(touched.alias("s"), same("c", "s", [*by, "_slot"])).withColumn("_to", F.col("s._start") + F.sum("c._m").over(run))
     holds = lambda rank: (rank < F.col("_to")) & (rank >= F.col("_to") - F.col("c._m"))
     ends = near.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], F.col("s._w.name").alias("_name"), F.col("s._at").alias("_at")).agg(
         F.max(F.when(holds(F.floor("s._at")), F.col("c._v"))).alias("_low"),
         F.max(F.when(holds(F.least(F.floor("s._at") + 1, F.col("c._n") - 1)), F.col("c._v"))).alias("_high"),
     )
     values = ends.select(*keys, "_name", (F.col("_low") + (F.col("_at") - F.floor("_at")) * (F.col("_high") - F.col("_low"))).alias("_x"))
-    pivoted = values.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in names])
-    return small.unionByName(pivoted)
+    return values.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for names in wanted for n in names])

@@ -1,8 +1,10 @@
 """Offsets of program-and-night labels from pairs, tested on held-out sources.
 
-All models of an experiment (folds, halves, permutations) go through each step together, as rows
-with a model id. A pair of labels enters a fit by its weighted sums only; each model's sums, at
-most one row for each pair of labels, are solved in one task.
+All models of an experiment go through each step together. A pair is kept once for each run (the
+experiment itself, or one shuffle of nights); which of the run's models (folds, halves) use it, and
+the weights it has there, are arrays with one place for each model. A pair of labels enters a fit
+by its weighted sums only. Sums of a model of up to LOCAL_SUMS rows are solved in one task, models
+in parallel; larger ones by the same conjugate gradients in rounds of joins and sums.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remeasure.functions.columns import is_finite
-from remeasure.functions.ranks import grouped_quantiles, numbered, same
+from remeasure.functions.ranks import column_quantiles, grouped_quantiles, numbered, same
 from remeasure.session import stored
 
-
 #: Shuffles of a null distribution.
 DEFAULT_PERMUTATIONS = 20
+#: Rows of sums (pairs of labels) of one model that are solved in one task.
+LOCAL_SUMS = 2_000_000
+#: A solution's residual relative to the right side, and the most rounds to reach it.
+TOLERANCE, MOST_ROUNDS = 1e-11, 2_000
 
 
 @dataclass(frozen=True)
@@ -48,52 +53,71 @@ def label_of(program: Column, night: Column) -> Column:
     return F.concat_ws(":", clean(program), clean(night))
 
 
-def prepare(pairs: DataFrame, rules: OffsetRules = OffsetRules(), nights: tuple[str, str] = ("NIGHT_1", "NIGHT_2"), extra: tuple[str, ...] = ()) -> DataFrame:
-    """(GROUP_ID, GROUP_KIND, L1, L2, PROGRAM_PAIR, d, err, formal, extra...) of the pairs that can be used.
+def _usable(pairs: DataFrame, rules: OffsetRules) -> DataFrame:
+    d, err, formal = F.col("DELTA_VRAD"), F.col("PAIR_ERROR"), F.col("PAIR_ERROR_FORMAL")
+    return pairs.where(F.col("GROUP_ID").isNotNull() & is_finite(d) & is_finite(err) & is_finite(formal) & (err > 0) & (formal > 0) & (F.col("DELTA_DAYS") > rules.min_delta_days))
+
+
+def _narrow(pairs: DataFrame) -> list[Column]:
+    kind = F.col("GROUP_KIND") if "GROUP_KIND" in pairs.columns else F.lit("UNKNOWN")
+    return [F.col("GROUP_ID"), kind.alias("GROUP_KIND"), F.col("PROGRAM_PAIR"), F.col("DELTA_VRAD").alias("d"), F.col("PAIR_ERROR").alias("err"), F.col("PAIR_ERROR_FORMAL").alias("formal")]
+
+
+def prepare(pairs: DataFrame, rules: OffsetRules = OffsetRules()) -> DataFrame:
+    """(run, GROUP_ID, GROUP_KIND, PROGRAM_PAIR, d, err, formal, L1, L2) of the pairs that can be used; run is 0.
 
     Group known, difference and both errors finite, errors above 0, more than ``min_delta_days``
     apart, and two different labels.
     """
-    d, err, formal = F.col("DELTA_VRAD"), F.col("PAIR_ERROR"), F.col("PAIR_ERROR_FORMAL")
-    usable = F.col("GROUP_ID").isNotNull() & is_finite(d) & is_finite(err) & is_finite(formal) & (err > 0) & (formal > 0) & (F.col("DELTA_DAYS") > rules.min_delta_days)
-    kind = F.col("GROUP_KIND") if "GROUP_KIND" in pairs.columns else F.lit("UNKNOWN")
-    rows = pairs.where(usable).select(
-        "GROUP_ID", kind.alias("GROUP_KIND"), label_of(F.col("PROGRAM_1"), F.col(nights[0])).alias("L1"), label_of(F.col("PROGRAM_2"), F.col(nights[1])).alias("L2"),
-        "PROGRAM_PAIR", d.alias("d"), err.alias("err"), formal.alias("formal"), *extra,
-    )
-    return rows.where("L1 <> L2")
+    labels = [label_of(F.col(f"PROGRAM_{k}"), F.col(f"NIGHT_{k}")).alias(f"L{k}") for k in (1, 2)]
+    return _usable(pairs, rules).select(F.lit(0).alias("run"), *_narrow(pairs), *labels).where("L1 <> L2")
+
 
+def _each(k: int, f) -> Column:
+    """An array with f(m) for each of k models."""
+    return F.array(*[f(m) for m in range(k)])
 
-def endpoint_counts(train: DataFrame) -> DataFrame:
-    """(model, label, n): how often each label ends a pair."""
-    ends = F.explode(F.array("L1", "L2")).alias("label")
-    return train.select("model", ends).groupBy("model", "label").agg(F.count("*").alias("n"))
 
+def with_use(rows: DataFrame, models: int, used: str) -> DataFrame:
+    """``rows`` with fold (by hash of the group) and use: for 'others' model m trains on all folds but m, for 'own' on fold m alone."""
+    if "fold" not in rows.columns:
+        rows = rows.withColumn("fold", hashed(F.col("GROUP_ID"), models))
+    return rows.withColumn("use", _each(models, lambda m: (F.col("fold") == m) if used == "own" else (F.col("fold") != m)))
 
-def kept_pairs(train: DataFrame, rules: OffsetRules) -> DataFrame:
-    """Pairs whose labels both have enough endpoints, without those beyond ``max_abs_z`` errors."""
-    labels = endpoint_counts(train).where(F.col("n") >= rules.min_pairs_per_label).select("model", "label")
-    for end in ("L1", "L2"):
-        train = train.join(labels.withColumnRenamed("label", end), ["model", end], "left_semi")
-    return train.where(F.abs(F.col("d") / F.col("err")) <= rules.max_abs_z)
 
+def endpoint_counts(rows: DataFrame, models: int) -> DataFrame:
+    """(run, label, n): how often each label ends a pair, for each model."""
+    ends = rows.select("run", F.explode(F.array("L1", "L2")).alias("label"), "use")
+    counts = ends.groupBy("run", "label").agg(*[F.count_if(F.col("use")[m]).alias(f"n{m}") for m in range(models)])
+    return counts.select("run", "label", _each(models, lambda m: F.col(f"n{m}")).alias("n"))
 
-def pair_sums(work: DataFrame, kept: Column, balance_groups: bool = True) -> DataFrame:
-    """(model, L1, L2, s0, s1, s2, n): weighted sums of the kept pairs for each two labels in order.
 
-    Labels joined only by pairs that aren't kept have sums of 0, so the graph stays as it was.
+def kept_pairs(rows: DataFrame, models: int, rules: OffsetRules) -> DataFrame:
+    """``rows`` with use only where both labels have enough endpoints and the pair is within ``max_abs_z`` errors; without rows that no model uses."""
+    enough = stored(endpoint_counts(rows, models).select("run", "label", F.transform("n", lambda n: n >= rules.min_pairs_per_label).alias("enough")).where(F.exists("enough", lambda x: x)))
+    for k in (1, 2):
+        rows = rows.join(enough.select("run", F.col("label").alias(f"L{k}"), F.col("enough").alias(f"e{k}")), ["run", f"L{k}"])
+    near = F.abs(F.col("d") / F.col("err")) <= rules.max_abs_z
+    use = _each(models, lambda m: F.col("use")[m] & F.col("e1")[m] & F.col("e2")[m])
+    return rows.where(near).withColumn("use", use).drop("e1", "e2").where(F.exists("use", lambda x: x))
+
+
+def pair_sums(work: DataFrame, models: int, balance_groups: bool = True) -> DataFrame:
+    """(run, m, L1, L2, s0, s1, s2, n): weighted sums of the pairs in ``kept`` for each model and two labels in order.
+
+    Labels joined only by pairs that a model uses but doesn't keep have sums of 0 there, so its graph
+    stays as it was.
     """
-    rows = work.withColumn("kept", kept)
+    rows, size = work, lambda m: F.lit(1.0)
     if balance_groups:
-        sizes = rows.groupBy("model", "GROUP_ID").agg(F.count_if("kept").alias("n_group"))
-        rows = rows.join(sizes, ["model", "GROUP_ID"])
-        weight = 1 / (F.col("err") * F.col("err") * F.col("n_group"))
-    else:
-        weight = 1 / (F.col("err") * F.col("err"))
-    w = F.when(F.col("kept"), weight).otherwise(F.lit(0.0))
+        sizes = work.groupBy("run", "GROUP_ID").agg(*[F.count_if(F.col("kept")[m]).alias(f"g{m}") for m in range(models)])
+        rows, size = work.join(sizes, ["run", "GROUP_ID"]), lambda m: F.col(f"g{m}")
+    w = lambda m: F.when(F.col("kept")[m], 1 / (F.col("err") * F.col("err") * size(m))).otherwise(F.lit(0.0))
     d = F.when(F.col("L1") <= F.col("L2"), F.col("d")).otherwise(-F.col("d"))
-    low, high = F.least("L1", "L2").alias("L1"), F.greatest("L1", "L2").alias("L2")
-    return rows.groupBy("model", low, high).agg(F.sum(w).alias("s0"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"), F.count_if("kept").alias("n"))
+    sums = [F.struct(F.sum(w(m)).alias("s0"), F.sum(w(m) * d).alias("s1"), F.sum(w(m) * d * d).alias("s2"), F.count_if(F.col("kept")[m]).alias("n"), F.max(F.col("use")[m]).alias("used")).alias(f"m{m}") for m in range(models)]
+    found = rows.groupBy("run", F.least("L1", "L2").alias("a"), F.greatest("L1", "L2").alias("b")).agg(*sums)
+    long = found.select("run", "a", "b", F.posexplode(_each(models, lambda m: F.col(f"m{m}"))).alias("m", "s")).where("s.used")
+    return long.select("run", "m", F.col("a").alias("L1"), F.col("b").alias("L2"), "s.s0", "s.s1", "s.s2", "s.n")
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,201 +133,372 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.unique(low, return_inverse=True)[1]
 
 
+def conjugate_gradients(n: int, a: np.ndarray, b: np.ndarray, s0: np.ndarray, s1: np.ndarray, damp: float) -> np.ndarray:
+    """x with (A + damp^2) x = right, where A and right are the normal equations of the sums of n labels; nothing of size n x n is made."""
+    diagonal = np.bincount(a, s0, n) + np.bincount(b, s0, n) + damp**2
+    right = np.bincount(a, s1, n) - np.bincount(b, s1, n)
+    inverse = np.divide(1.0, diagonal, out=np.zeros(n), where=diagonal > 0)
+    x, r = np.zeros(n), right.copy()
+    z = r * inverse
+    p, rz = z.copy(), float(r @ z)
+    goal = TOLERANCE**2 * rz
+    for _ in range(MOST_ROUNDS):
+        if rz <= goal or rz == 0:
+            break
+        product = diagonal * p - np.bincount(a, s0 * p[b], n) - np.bincount(b, s0 * p[a], n)
+        step = rz / float(p @ product)
+        x += step * p
+        r -= step * product
+        z = r * inverse
+        rz, before = float(r @ z), rz
+        p = z + rz / before * p
+    return x
+
+
 def solve_sums(sums: pd.DataFrame, damp: float, center_components: bool) -> pd.DataFrame:
-    """Damped least squares of one model: label, offset, component and diagnostics of the fit."""
+    """Damped least squares of one model: label, offset and component."""
     labels = np.unique(np.concatenate([sums["L1"], sums["L2"]]))
     a, b = np.searchsorted(labels, sums["L1"]), np.searchsorted(labels, sums["L2"])
-    n, s0, s1 = len(labels), sums["s0"].to_numpy(float), sums["s1"].to_numpy(float)
-    normal, right = np.zeros((n, n)), np.zeros(n)
-    for i, j, sign in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1)):
-        np.add.at(normal, (i, j), sign * s0)
-    np.add.at(right, a, s1)
-    np.add.at(right, b, -s1)
-    if damp > 0:
-        x = np.linalg.solve(normal + damp**2 * np.eye(n), right)
-    else:
-        x = np.linalg.lstsq(normal, right, rcond=None)[0]
-    part = _components(n, a, b)
-    if center_components:
+    x = conjugate_gradients(len(labels), a, b, sums["s0"].to_numpy(float), sums["s1"].to_numpy(float), damp)
+    part = _components(len(labels), a, b)
+    if center_components or damp == 0:
         x = x - (np.bincount(part, x) / np.bincount(part))[part]
-    else:
-        x = x - np.median(x)
-    step = x[a] - x[b]
-    rest = (sums["s2"].to_numpy(float) - 2 * s1 * step + s0 * step**2).sum()
-    return pd.DataFrame({"label": labels, "offset": x, "component": part.astype("int32"), "n_train": int(sums["n"].sum()), "r1norm": float(np.sqrt(max(rest, 0.0)))})
+    return pd.DataFrame({"label": labels, "offset": x, "component": part.astype("int64")})
+
 
+_MODEL = ["run", "m"]
 
-_OFFSETS = "label string, offset double, component int, n_train bigint, r1norm double"
 
+def _run_solver(models: int, rules: OffsetRules):
+    """The offsets of all models of a run, side by side: one row for each label."""
 
-def _solved(sums: DataFrame, rules: OffsetRules, kind: str) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = solve_sums(pdf, rules.damp, rules.center_components)
-        out.insert(0, "model", pdf["model"].iloc[0])
-        return out
+        labels = np.unique(np.concatenate([pdf["L1"], pdf["L2"]]))
+        offset, component = np.full((len(labels), models), np.nan), np.full((len(labels), models), -1)
+        for m, own in pdf.groupby("m"):
+            found = solve_sums(own, rules.damp, rules.center_components)
+            at = np.searchsorted(labels, found["label"])
+            offset[at, m], component[at, m] = found["offset"], found["component"]
+        o = [[None if x != x else float(x) for x in row] for row in offset]
+        c = [[None if x < 0 else int(x) for x in row] for row in component]
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]] * len(labels), "label": labels, "o": o, "c": c})
+
+    return solve
+
+
+def _solved(sums: DataFrame, models: int, rules: OffsetRules, largest: int) -> DataFrame:
+    """(run, label, o, c): the offset and component of each label in every model, null where the model lacks it.
+
+    Component 0 is that of the smallest label, and so on. ``largest`` is the most rows of sums of a run.
+    """
+    if largest <= LOCAL_SUMS:
+        return stored(sums.groupBy("run").applyInPandas(_run_solver(models, rules), f"run {dict(sums.dtypes)['run']}, label string, o array<double>, c array<bigint>"))
+    column = lambda c: _each(models, lambda m: F.max(F.when(F.col("m") == m, F.col(c))))
+    return stored(_solved_in_rounds(sums, rules).groupBy("run", "label").agg(column("offset").alias("o"), column("component").alias("c")))
+
+
+def _long(wide: DataFrame) -> DataFrame:
+    """(run, m, label, offset, component)."""
+    rows = wide.select("run", "label", F.posexplode(F.arrays_zip("o", "c")).alias("m", "x"))
+    return rows.where("x.o is not null").select("run", "m", "label", F.col("x.o").alias("offset"), F.col("x.c").alias("component"))
+
+
+def _sizes(sums: DataFrame, models: int) -> tuple[int, list[tuple]]:
+    """The most rows of a run, and the (run, m) of which nothing is kept; one row for each model comes to the driver."""
+    rows = sums.groupBy(*_MODEL).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    runs: dict = {}
+    for r in rows:
+        runs[r["run"]] = runs.get(r["run"], 0) + r["rows"]
+    return max(runs.values(), default=0), [(r["run"], r["m"]) for r in rows if not r["n"]]
+
+
+def _graph_parts(edges: DataFrame) -> DataFrame:
+    """(run, m, label, component) of models whose graph is too large for a task: least labels over edges, with pointer jumping.
+
+    ``edges`` has both directions (label, other). Components are numbered by their smallest label.
+    """
+    own = [*_MODEL, "label"]
+    state = stored(edges.groupBy(*own).agg(F.min("other").alias("low")).withColumn("low", F.least("label", "low")))
+    while True:
+        heard = edges.join(state.select(*_MODEL, F.col("label").alias("other"), "low"), [*_MODEL, "other"]).groupBy(*own).agg(F.min("low").alias("heard"))
+        jump = state.select(*_MODEL, F.col("label").alias("low"), F.col("low").alias("further"))
+        fresh = state.join(heard, own).join(jump, [*_MODEL, "low"]).select(*own, F.least("low", "heard", "further").alias("fresh"), "low")
+        fresh = stored(fresh.select(*own, F.col("fresh").alias("low"), (F.col("fresh") != F.col("low")).alias("moved")))
+        state = fresh.drop("moved")
+        if fresh.where("moved").isEmpty():
+            break
+    roots = numbered(state.where("label = low").select(*own), _MODEL, F.col("label"), [F.col("label")]).select(*_MODEL, F.col("label").alias("low"), F.col("place").alias("component"))
+    return state.join(roots, [*_MODEL, "low"]).select(*own, "component")
 
-    return stored(sums.groupBy("model").applyInPandas(solve, f"model {kind}, {_OFFSETS}"))
 
+def _solved_in_rounds(sums: DataFrame, rules: OffsetRules) -> DataFrame:
+    """The same solution as ``solve_sums`` for models of any size: each product with the matrix is a join and a sum.
 
-def with_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """``rows`` with o1, o2, c1, c2 of their labels; null for labels without an offset."""
+    Only whether all models have reached the tolerance comes to the driver.
+    """
+    own = [*_MODEL, "label"]
+    forth = sums.select(*_MODEL, F.col("L1").alias("label"), F.col("L2").alias("other"), "s0", "s1")
+    edges = stored(forth.unionByName(sums.select(*_MODEL, F.col("L2").alias("label"), F.col("L1").alias("other"), "s0", (-F.col("s1")).alias("s1"))))
+    diagonal = F.sum("s0") + F.lit(rules.damp**2)
+    state = edges.groupBy(*own).agg(diagonal.alias("diagonal"), F.sum("s1").alias("r"))
+    scaled = lambda r: F.when(F.col("diagonal") > 0, r / F.col("diagonal")).otherwise(0.0)
+    state = stored(state.select(*own, "diagonal", F.lit(0.0).alias("x"), "r", scaled(F.col("r")).alias("p")))
+    rz = lambda: F.sum(F.col("r") * scaled(F.col("r")))
+    goal = stored(state.groupBy(*_MODEL).agg((rz() * TOLERANCE**2).alias("goal")))
+    for _ in range(MOST_ROUNDS):
+        given = edges.join(state.select(*_MODEL, F.col("label").alias("other"), F.col("p").alias("q")), [*_MODEL, "other"])
+        given = given.groupBy(*own).agg(F.sum(F.col("s0") * F.col("q")).alias("given"))
+        state = stored(state.join(given, own).withColumn("product", F.col("diagonal") * F.col("p") - F.col("given")).drop("given"))
+        step = stored(state.groupBy(*_MODEL).agg(rz().alias("rz"), F.sum(F.col("p") * F.col("product")).alias("curve")))
+        along = F.when(F.col("curve") > 0, F.col("rz") / F.col("curve")).otherwise(0.0)
+        moved = state.join(step, _MODEL).select(*own, "diagonal", (F.col("x") + along * F.col("p")).alias("x"), (F.col("r") - along * F.col("product")).alias("r"), "p", "rz")
+        moved = stored(moved)
+        after = stored(moved.groupBy(*_MODEL).agg(rz().alias("after")))
+        turn = F.when(F.col("rz") > 0, F.col("after") / F.col("rz")).otherwise(0.0)
+        state = stored(moved.join(after, _MODEL).select(*own, "diagonal", "x", "r", (scaled(F.col("r")) + turn * F.col("p")).alias("p")))
+        if after.join(goal, _MODEL).where("after > goal").isEmpty():
+            break
+    solved = state.join(_graph_parts(edges.select(*own, "other").distinct()), own).select(*own, F.col("x").alias("offset"), "component")
+    if rules.center_components or rules.damp == 0:
+        means = solved.groupBy(*_MODEL, "component").agg(F.avg("offset").alias("mean"))
+        solved = solved.join(means, [*_MODEL, "component"]).select(*own, (F.col("offset") - F.col("mean")).alias("offset"), "component")
+    return stored(solved)
+
+
+def with_offsets(rows: DataFrame, wide: DataFrame, models: int) -> DataFrame:
+    """``rows`` with change (offset of L1 less that of L2, null without them) and together (one component) for each model.
+
+    A label has one row with its offsets in all models, so a pair is joined twice, whatever the number of models.
+    """
     for k in (1, 2):
-        side = offsets.select("model", F.col("label").alias(f"L{k}"), F.col("offset").alias(f"o{k}"), F.col("component").alias(f"c{k}"))
-        rows = rows.join(side, ["model", f"L{k}"], "left")
-    return rows
+        rows = rows.join(wide.select("run", F.col("label").alias(f"L{k}"), F.col("o").alias(f"o{k}"), F.col("c").alias(f"c{k}")), ["run", f"L{k}"], "left")
+    both = F.expr("o1 is not null and o2 is not null")
+    change = F.when(both, F.expr("zip_with(o1, o2, (x, y) -> x - y)")).otherwise(F.array(*[F.lit(None).cast("double")] * models))
+    together = F.when(both, F.expr("zip_with(c1, c2, (x, y) -> coalesce(x = y, false))")).otherwise(F.array(*[F.lit(False)] * models))
+    return rows.withColumns({"change": change, "together": together}).drop("o1", "o2", "c1", "c2")
 
 
-def fit_offsets(train: DataFrame, rules: OffsetRules = OffsetRules()) -> DataFrame:
-    """(model, label, offset, component, n_train, r1norm) of every model of ``train``.
+def fit_offsets(rows: DataFrame, models: int, rules: OffsetRules = OffsetRules()) -> tuple[DataFrame, DataFrame]:
+    """(offsets, fits): (run, label, o, c) as ``_solved`` gives them, and one row for each model with what its fit is like.
 
     After each fit all pairs are judged again by their residual, so one may come back; a round
     that would keep nothing of a model leaves it as it was. Models without usable pairs have no rows.
+    fits has n_labels, n_components, n_train_pairs, r1norm and the largest component's share of labels
+    and of the pairs in the graph.
     """
-    kind = dict(train.dtypes)["model"]
-    work = stored(kept_pairs(train, rules))
-    offsets = _solved(pair_sums(work, F.lit(True), rules.balance_groups), rules, kind)
+    work = stored(kept_pairs(rows, models, rules).withColumn("kept", F.col("use")))
+    sums = whole = stored(pair_sums(work, models, rules.balance_groups))
+    largest, _ = _sizes(sums, models)
+    wide = _solved(sums, models, rules, largest)
+    near = "transform(use, (u, m) -> coalesce(u and abs((d - change[m]) / err) <= {clip}, false))"
     for _ in range(max(rules.clip_rounds, 1)):
-        judged = with_offsets(work, offsets)
-        kept = F.coalesce(F.abs((F.col("d") - (F.col("o1") - F.col("o2"))) / F.col("err")) <= rules.clip, F.lit(False))
-        sums = stored(pair_sums(judged, kept, rules.balance_groups))
-        alive = sums.groupBy("model").agg(F.sum("n").alias("n_kept")).where("n_kept > 0").select("model")
-        fresh = _solved(sums.join(alive, "model", "left_semi"), rules, kind)
-        offsets = fresh.unionByName(offsets.join(alive, "model", "left_anti"))
-        offsets = stored(offsets)
-    return offsets
-
-
-def robust_metrics(rows: DataFrame, keys: list[str], residual: Column, variance: Column) -> DataFrame:
-    """(keys..., n, raw_width, median_z, width_z, tail_3, tail_5, loss) of residuals with a variance above 0."""
-    z = F.col("_r") / F.sqrt("_v")
-    valid = rows.select(*keys, residual.alias("_r"), variance.alias("_v")).where(is_finite(F.col("_r")) & (F.col("_v") > 0)).withColumn("_z", z)
-    tail = lambda k: F.avg((F.abs("_z") > k).cast("int")).alias(f"tail_{k}")
-    base = valid.groupBy(*keys).agg(F.count("*").alias("n"), tail(3), tail(5), F.avg(0.5 * (F.col("_z") ** 2 + F.log(2 * np.pi * F.col("_v")))).alias("loss"))
-    raw = grouped_quantiles(valid, keys, "_r", {"r16": 0.16, "r84": 0.84})
-    normal = grouped_quantiles(valid, keys, "_z", {"z16": 0.16, "median_z": 0.5, "z84": 0.84})
-    both = base.alias("b").join(raw.alias("r"), same("b", "r", keys)).join(normal.alias("z"), same("b", "z", keys))
-    return both.select(*[F.col(f"b.{k}").alias(k) for k in keys], "b.n", ((F.col("r84") - F.col("r16")) / 2).alias("raw_width"), "median_z", ((F.col("z84") - F.col("z16")) / 2).alias("width_z"), "b.tail_3", "b.tail_5", "b.loss")
-
-
-def pair_floors(train: DataFrame, residual: Column, rules: OffsetRules) -> DataFrame:
-    """(model, PROGRAM_PAIR, floor): what a pair's formal error lacks to explain the width, from training pairs.
-
-    Strata with too few pairs have the floor of the whole model.
+        judged = with_offsets(work, wide, models).withColumn("kept", F.expr(near.format(clip=rules.clip)))
+        fresh = stored(pair_sums(judged, models, rules.balance_groups))
+        _, dead = _sizes(fresh, models)
+        if dead:
+            gone = F.struct("run", "m").isin([F.struct(F.lit(run), F.lit(m)) for run, m in dead])
+            fresh = stored(fresh.where(~gone).unionByName(sums.where(gone)))
+        sums, wide = fresh, _solved(fresh, models, rules, largest)
+    return wide, _fits(_long(wide), sums, whole)
+
+
+def solved_offsets(sums: DataFrame, rules: OffsetRules) -> DataFrame:
+    """(run, label, offset) of runs with one model each."""
+    return _long(_solved(sums, 1, rules, _sizes(sums, 1)[0])).select("run", "label", "offset")
+
+
+def _fits(offsets: DataFrame, sums: DataFrame, whole: DataFrame) -> DataFrame:
+    ends = sums
+    for k in (1, 2):
+        ends = ends.join(offsets.select(*_MODEL, F.col("label").alias(f"L{k}"), F.col("offset").alias(f"o{k}")), [*_MODEL, f"L{k}"])
+    step = F.col("o1") - F.col("o2")
+    rest = F.sum(F.col("s2") - 2 * F.col("s1") * step + F.col("s0") * step * step)
+    errors = ends.groupBy(*_MODEL).agg(F.sum("n").alias("n_train_pairs"), F.sqrt(F.greatest(rest, F.lit(0.0))).alias("r1norm"))
+    parts = offsets.groupBy(*_MODEL, "component").agg(F.count("*").alias("n"))
+    labels = parts.groupBy(*_MODEL).agg(F.sum("n").alias("n_labels"), F.count("*").alias("n_components"), (F.max("n") / F.sum("n")).alias("largest_component_label_fraction"))
+    there = whole.join(offsets.select(*_MODEL, F.col("label").alias("L1"), "component"), [*_MODEL, "L1"]).groupBy(*_MODEL, "component").agg(F.sum("n").alias("n"))
+    pairs = there.groupBy(*_MODEL).agg((F.max("n") / F.sum("n")).alias("largest_component_pair_fraction"))
+    return labels.join(errors, _MODEL).join(pairs, _MODEL)
+
+
+def robust_metrics(rows: DataFrame, keys: list[str], residuals: dict[str, Column], variance: Column) -> DataFrame:
+    """(keys..., n, then raw_width, median, median_z, width_z, tail_3, tail_5 and loss of each residual) where the variance is above 0.
+
+    residuals is {ending of the column names: residual}; they are finite in the same rows.
     """
-    rows = stored(train.select("model", "PROGRAM_PAIR", residual.alias("r"), (F.col("formal") ** 2).alias("f2")).where(is_finite(F.col("r"))))
+    columns = {f"r{i}": r for i, r in enumerate(residuals.values())}
+    valid = rows.select(*keys, variance.alias("v"), *[c.alias(n) for n, c in columns.items()])
+    valid = valid.where((F.col("v") > 0) & is_finite(F.col("r0"))).select("*", *[(F.col(n) / F.sqrt("v")).alias(f"z{n}") for n in columns])
+    valid = stored(valid)
+    tail = lambda n, k: F.avg((F.abs(f"z{n}") > k).cast("int"))
+    each = {end: n for n, end in zip(columns, residuals)}
+    base = [c for end, n in each.items() for c in (tail(n, 3).alias(f"tail_3{end}"), tail(n, 5).alias(f"tail_5{end}"), F.avg(0.5 * (F.col(f"z{n}") ** 2 + F.log(2 * np.pi * F.col("v")))).alias(f"loss{end}"))]
+    counts = valid.groupBy(*keys).agg(F.count("*").alias("n"), *base)
+    wanted = {c: {f"{c}_16": 0.16, f"{c}_50": 0.5, f"{c}_84": 0.84} for n in columns for c in (n, f"z{n}")}
+    quantiles = column_quantiles(valid, keys, wanted, kept=True)
+    width = lambda c: (F.col(f"{c}_84") - F.col(f"{c}_16")) / 2
+    shown = [c for end, n in each.items() for c in (width(n).alias(f"raw_width{end}"), F.col(f"{n}_50").alias(f"median{end}"), F.col(f"z{n}_50").alias(f"median_z{end}"), width(f"z{n}").alias(f"width_z{end}"), F.col(f"tail_3{end}"), F.col(f"tail_5{end}"), F.col(f"loss{end}"))]
+    both = counts.alias("b").join(quantiles.alias("q"), same("b", "q", keys))
+    return both.select(*[F.col(f"b.{k}").alias(k) for k in keys], "b.n", *shown)
+
+
+def pair_floors(judged: DataFrame, models: int, rules: OffsetRules) -> DataFrame:
+    """(run, m, PROGRAM_PAIR, floor): what a pair's formal error lacks to explain the width of the training residuals.
+
+    ``judged`` has use and change. Strata with too few pairs have the floor of the whole model.
+    """
+    residual = lambda m: F.when(F.col("use")[m], F.col("d") - F.col("change")[m])
+    rows = judged.select("run", "PROGRAM_PAIR", F.col("formal") ** 2, *[residual(m).alias(f"r{m}") for m in range(models)]).toDF("run", "PROGRAM_PAIR", "formal2", *[f"r{m}" for m in range(models)])
+    rows = rows.select("*", *[F.when(F.col(f"r{m}").isNotNull(), F.col("formal2")).alias(f"f{m}") for m in range(models)])
+    wanted = {f"r{m}": {f"lo{m}": 0.16, f"hi{m}": 0.84} for m in range(models)} | {f"f{m}": {f"mid{m}": 0.5} for m in range(models)}
+    floor = lambda m: F.sqrt(F.greatest(((F.col(f"hi{m}") - F.col(f"lo{m}")) / 2) ** 2 - F.col(f"mid{m}"), F.lit(0.0)))
 
     def floors(keys: list[str]) -> DataFrame:
-        width = grouped_quantiles(rows, keys, "r", {"q16": 0.16, "q84": 0.84})
-        formal = grouped_quantiles(rows, keys, "f2", {"f": 0.5})
-        n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-        joined = n.alias("n").join(width.alias("w"), same("n", "w", keys)).join(formal.alias("f"), same("n", "f", keys))
-        value = F.sqrt(F.greatest(((F.col("q84") - F.col("q16")) / 2) ** 2 - F.col("f.f"), F.lit(0.0)))
-        return joined.select(*[F.col(f"n.{k}").alias(k) for k in keys], "n.n", value.alias("floor"))
+        return column_quantiles(rows, keys, wanted, kept=True).select(*keys, _each(models, floor).alias("floor"))
 
-    own, all_ = floors(["model", "PROGRAM_PAIR"]), floors(["model"]).select("model", F.col("floor").alias("overall"))
-    value = F.when(F.col("n") >= rules.min_pairs_per_label, F.col("floor")).otherwise(F.col("overall"))
-    return own.join(all_, "model").select("model", "PROGRAM_PAIR", value.alias("floor"))
+    counts = rows.groupBy("run", "PROGRAM_PAIR").agg(*[F.count(f"r{m}").alias(f"n{m}") for m in range(models)]).select("run", "PROGRAM_PAIR", _each(models, lambda m: F.col(f"n{m}")).alias("n"))
+    own = floors(["run", "PROGRAM_PAIR"]).alias("o").join(counts.alias("c"), same("o", "c", ["run", "PROGRAM_PAIR"])).select("o.*", "c.n")
+    both = own.join(floors(["run"]).withColumnRenamed("floor", "overall"), "run")
+    value = _each(models, lambda m: F.when(F.col("n")[m] >= rules.min_pairs_per_label, F.col("floor")[m]).when(F.col("n")[m] > 0, F.col("overall")[m]))
+    return both.select("run", "PROGRAM_PAIR", F.posexplode(value).alias("m", "floor")).where("floor is not null").select("run", "m", "PROGRAM_PAIR", "floor")
 
 
-def run_folds(prepared: DataFrame, rules: OffsetRules = OffsetRules(), by: list[str] | None = None) -> dict[str, DataFrame]:
-    """Cross-validation over sources: {'summary', 'by_program', 'offsets'}.
+def run_folds(prepared: DataFrame, rules: OffsetRules = OffsetRules()) -> dict[str, DataFrame]:
+    """Cross-validation over sources: {'summary', 'by_program', 'offsets'}, with the columns run and fold.
 
-    ``prepared`` comes from ``prepare``; further columns ``by`` (a permutation, say) separate
-    experiments that run in the same jobs. A source is in one fold. Only held-out pairs whose two
-    labels are in one component of the training graph are scored, before and after the offsets.
+    ``prepared`` comes from ``prepare``; its runs are separate experiments that go through the same
+    jobs. A source is in one fold. Only held-out pairs whose two labels are in one component of the
+    training graph are scored, before and after the offsets. A fold in which nothing can be scored
+    has its counts and nulls for the rest, and no rows in by_program.
     """
-    by = by or []
-    rows = prepared.withColumn("fold", hashed(F.col("GROUP_ID"), rules.folds))
-    name = F.concat_ws("/", *[F.col(c).cast("string") for c in by], F.lit("fold"), F.col("m").cast("string")).alias("model")
-    spread = stored(rows.withColumn("m", F.explode(F.array(*[F.lit(k) for k in range(rules.folds)]))).select("*", name))
-    train, holdout = spread.where("fold <> m"), spread.where("fold = m")
-    offsets = fit_offsets(train, rules)
-    change = F.col("o1") - F.col("o2")
-    trained = with_offsets(train, offsets).where("o1 is not null and o2 is not null")
-    floors = pair_floors(trained, F.col("d") - change, rules)
-    overall = floors.groupBy("model").agg(F.percentile("floor", 0.5).alias("usual"))
-    scored = with_offsets(holdout, offsets).where("o1 is not null and o2 is not null and c1 = c2")
-    scored = scored.join(floors, ["model", "PROGRAM_PAIR"], "left").join(overall, "model", "left").withColumn("floor", F.coalesce("floor", "usual"))
+    k = rules.folds
+    rows = stored(with_use(prepared, k, "others"))
+    wide, fits = fit_offsets(rows, k, rules)
+    offsets = _long(wide)
+    judged = stored(with_offsets(rows, wide, k).select("run", "fold", "PROGRAM_PAIR", "d", "formal", "use", "change", F.element_at("together", F.col("fold") + 1).alias("same")))
+    floors = stored(pair_floors(judged, k, rules).withColumnRenamed("m", "fold"))
+    usual = floors.groupBy("run", "fold").agg(F.percentile("floor", 0.5).alias("usual"))
+    scored = judged.where("same").select("run", "fold", "PROGRAM_PAIR", "formal", F.col("d").alias("before"), (F.col("d") - F.element_at("change", F.col("fold") + 1)).alias("after"))
+    scored = scored.alias("s").join(floors.alias("f"), same("s", "f", ["run", "fold", "PROGRAM_PAIR"]), "left").select("s.*", "f.floor").join(usual, ["run", "fold"], "left")
+    scored = stored(scored.withColumn("floor", F.coalesce("floor", "usual", F.lit(0.0))))
     variance = F.col("formal") ** 2 + F.col("floor") ** 2
-    scored = stored(scored.select("model", "PROGRAM_PAIR", F.col("d").alias("before"), (F.col("d") - change).alias("after"), variance.alias("variance")))
-
-    def metrics(keys: list[str]) -> DataFrame:
-        sides = [robust_metrics(scored, keys, F.col(c), F.col("variance")) for c in ("before", "after")]
-        renamed = [df.withColumnsRenamed({c: f"{c}_{side}" for c in df.columns if c not in keys}) for df, side in zip(sides, ("before", "after"))]
-        joined = renamed[0].alias("a").join(renamed[1].alias("b"), same("a", "b", keys))
-        return joined.select("a.*", *[f"b.{c}" for c in renamed[1].columns if c not in keys])
-
-    by_program = metrics(["model", "PROGRAM_PAIR"]).join(floors, ["model", "PROGRAM_PAIR"], "left").withColumnRenamed("floor", "train_pair_floor")
-    macro = by_program.groupBy("model").agg(*[F.avg(c).alias(f"macro_{c}") for c in ("width_z_before", "width_z_after", "loss_before", "loss_after")])
-    fitted = offsets.groupBy("model").agg(F.count("*").alias("n_labels"), F.countDistinct("component").alias("n_components"), F.max("n_train").alias("n_train_pairs"), F.max("r1norm").alias("r1norm"))
-    held = holdout.groupBy("model").agg(F.count("*").alias("n_holdout_pairs"))
-    summary = held.join(fitted, "model", "left").join(metrics(["model"]), "model", "left").join(macro, "model", "left")
-    return {"summary": summary, "by_program": by_program, "offsets": offsets}
+    sides = {"_before": F.col("before"), "_after": F.col("after")}
+    fold = ["run", "fold"]
+    here = [*fold, "PROGRAM_PAIR"]
+    by_program = stored(robust_metrics(scored, here, sides, variance))
+    stratum = scored.groupBy(*here).agg(F.max("floor").alias("train_pair_floor"))
+    by_program = by_program.alias("p").join(stratum.alias("f"), same("p", "f", here)).select("p.*", "f.train_pair_floor")
+    macro = by_program.groupBy(*fold).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("width_z_before", "width_z_after", "loss_before", "loss_after")])
+    every = judged.select("run").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    held = judged.groupBy(*fold).agg(F.count("*").alias("n_holdout_pairs"), F.count_if("same").alias("n_holdout_same_component"))
+    summary = every.join(held, fold, "left").join(fits.withColumnRenamed("m", "fold"), fold, "left")
+    none = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_holdout_pairs", "n_holdout_same_component", "n_labels", "n_components", "n_train_pairs")}
+    summary = summary.withColumns(none).withColumn("n_holdout_cross_component", F.col("n_holdout_pairs") - F.col("n_holdout_same_component"))
+    summary = summary.join(robust_metrics(scored, fold, sides, variance).drop("n"), fold, "left").join(macro, fold, "left")
+    scorable = summary.where("n_holdout_same_component > 0").select(*fold)
+    return {"summary": summary, "by_program": by_program, "offsets": offsets.withColumnRenamed("m", "fold").join(scorable, fold, "left_semi")}
 
 
 def half_reproducibility(prepared: DataFrame, rules: OffsetRules = OffsetRules()) -> DataFrame:
-    """One row: how far offsets from two halves of the sources agree, over the commonest pair of components."""
-    halves = stored(prepared.withColumn("model", hashed(F.col("GROUP_ID"), 2)))
-    offsets = fit_offsets(halves, rules)
-    side = lambda k: offsets.where(F.col("model") == k).select("label", F.col("offset").alias("xy"[k]), F.col("component").alias(f"c{k}"))
+    """One row: how far offsets from two halves of the sources agree, over the commonest pair of components.
+
+    No rows if the halves have no label in common.
+    """
+    offsets = _long(fit_offsets(stored(with_use(prepared.drop("fold"), 2, "own")), 2, rules)[0])
+    side = lambda k: offsets.where(F.col("m") == k).select("label", F.col("offset").alias("xy"[k]), F.col("component").alias(f"c{k}"))
     joined = stored(side(0).join(side(1), "label"))
     common = joined.groupBy("c0", "c1").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c0", "c1").limit(1)
-    rows = joined.join(common.select("c0", "c1"), ["c0", "c1"], "left_semi")
-    shift = grouped_quantiles(rows.select(F.lit(0).alias("g"), (F.col("y") - F.col("x")).alias("s")), ["g"], "s", {"shift": 0.5})
-    moved = stored(rows.withColumn("g", F.lit(0)).join(shift, "g").select("g", "x", (F.col("y") - F.col("shift")).alias("y")))
-    gap = moved.select("g", (F.col("x") - F.col("y")).alias("d"), F.abs(F.col("x") - F.col("y")).alias("a"))
-    spread = grouped_quantiles(gap, ["g"], "d", {"q16": 0.16, "q84": 0.84}).join(grouped_quantiles(gap, ["g"], "a", {"median_abs_difference": 0.5}), "g")
+    rows = stored(joined.join(common.select("c0", "c1"), ["c0", "c1"], "left_semi").withColumn("g", F.lit(0)))
+    shift = grouped_quantiles(rows.select("g", (F.col("y") - F.col("x")).alias("s")), ["g"], "s", {"shift": 0.5}, kept=True)
+    moved = rows.join(shift, "g").select("g", "x", (F.col("y") - F.col("shift")).alias("y"), "shift", F.concat_ws("/", "c0", "c1").alias("pair"))
+    moved = stored(moved.withColumns({"d": F.col("x") - F.col("y"), "a": F.abs(F.col("x") - F.col("y"))}))
+    spread = column_quantiles(moved, ["g"], {"d": {"q16": 0.16, "q84": 0.84}, "a": {"median_abs_difference": 0.5}}, kept=True)
+    several = F.count("*") > 1
     slope = F.sum(F.col("x") * F.col("y")) / F.greatest(F.sum(F.col("x") ** 2), F.lit(1e-12))
-    base = moved.groupBy("g").agg(F.count("*").alias("n_labels"), F.corr("x", "y").alias("correlation"), slope.alias("slope"))
-    return base.join(spread, "g").select("n_labels", "correlation", "slope", "median_abs_difference", ((F.col("q84") - F.col("q16")) / 2).alias("difference_width"))
+    base = moved.groupBy("g").agg(F.count("*").alias("n_labels"), F.max("pair").alias("component_pair"), F.max("shift").alias("shift"), F.when(several, F.corr("x", "y")).alias("correlation"), F.when(several, slope).alias("slope"))
+    return base.join(spread, "g").select("n_labels", "component_pair", "shift", "correlation", "slope", "median_abs_difference", ((F.col("q84") - F.col("q16")) / 2).alias("difference_width"))
+
+
+#: Rows of a slot in which exposures are numbered.
+SLOT = 100_000
 
 
 def exposure_nights(pairs: DataFrame, seeds: list[int]) -> DataFrame:
     """(seed, EXPOSURE_KEY, NIGHT): the nights of a program's exposures dealt out anew for each seed.
 
     Exposures are numbered once by the md5 of the key and once by that of seed and key, and take the
-    night of the exposure with the same number; a program with one exposure keeps its night. If an
-    exposure has several nights, the smallest counts. Numbering is spread over 256 slots of each program.
+    night of the exposure with the same number. If that leaves every exposure of a program where it
+    is, each takes the night of the one before. A program with one exposure keeps its night. If an
+    exposure has several nights, the smallest counts. A program is numbered in slots of about SLOT rows.
     """
-    ends = [pairs.select(F.trim(f"EXPOSURE_KEY_{k}").alias("EXPOSURE_KEY"), F.col(f"PROGRAM_{k}").alias("PROGRAM"), F.col(f"NIGHT_{k}").cast("string").alias("NIGHT")) for k in (1, 2)]
-    exposures = stored(ends[0].unionByName(ends[1]).groupBy("EXPOSURE_KEY").agg(F.min("PROGRAM").alias("PROGRAM"), F.min("NIGHT").alias("NIGHT")).where("PROGRAM is not null"))
+    exposures = _exposures(pairs).groupBy("EXPOSURE_KEY").agg(F.min("PROGRAM").alias("PROGRAM"), F.min("NIGHT").alias("NIGHT"))
+    exposures = stored(exposures.where("PROGRAM is not null"))
+    slots = max(1, -(-exposures.count() // SLOT))
     seeded = exposures.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    by = ["seed", "PROGRAM"]
+
+    def placed(rows: DataFrame, name: Column, place: str) -> DataFrame:
+        rows = rows.withColumn("_mixed", F.md5(name))
+        slot = F.floor(F.conv(F.substring("_mixed", 1, 8), 16, 10).cast("double") / (2**32 / slots))
+        return numbered(rows, by, slot, [F.col("_mixed"), F.col("EXPOSURE_KEY")]).withColumnRenamed("place", place).drop("_mixed")
+
+    both = placed(seeded, F.col("EXPOSURE_KEY"), "a").drop("group_size")
+    both = stored(placed(both, F.concat_ws("|", F.col("seed").cast("string"), F.col("EXPOSURE_KEY")), "b"))
+    still = stored(both.groupBy(*by).agg((F.max((F.col("a") != F.col("b")).cast("int")) == 0).alias("still")))
+    wanted = F.when(F.col("still"), F.pmod(F.col("a") - 1 + F.col("group_size"), F.col("group_size"))).otherwise(F.col("a"))
+    takes = both.join(still, by).select(*by, "EXPOSURE_KEY", wanted.alias("b"))
+    return takes.join(both.select(*by, "b", "NIGHT"), [*by, "b"]).select("seed", "EXPOSURE_KEY", "NIGHT")
 
-    def mixed(name: Column) -> DataFrame:
-        rows = seeded.withColumn("mixed", F.md5(name))
-        return numbered(rows, ["seed", "PROGRAM"], F.substring("mixed", 1, 2), [F.col("mixed"), F.col("EXPOSURE_KEY")])
 
-    a = mixed(F.col("EXPOSURE_KEY")).select("seed", "PROGRAM", "place", "EXPOSURE_KEY")
-    b = mixed(F.concat_ws("|", F.col("seed").cast("string"), F.col("EXPOSURE_KEY"))).select("seed", "PROGRAM", "place", "NIGHT")
-    return a.join(b, ["seed", "PROGRAM", "place"]).select("seed", "EXPOSURE_KEY", "NIGHT")
+def _exposures(pairs: DataFrame) -> DataFrame:
+    ends = [pairs.select(F.trim(f"EXPOSURE_KEY_{k}").alias("EXPOSURE_KEY"), F.col(f"PROGRAM_{k}").alias("PROGRAM"), F.col(f"NIGHT_{k}").cast("string").alias("NIGHT")) for k in (1, 2)]
+    return ends[0].unionByName(ends[1])
 
 
 def exposure_conflicts(pairs: DataFrame) -> DataFrame:
     """(EXPOSURE_KEY, N_NIGHTS) of exposures with more than one night; null counts as one."""
-    ends = [pairs.select(F.trim(f"EXPOSURE_KEY_{k}").alias("EXPOSURE_KEY"), F.coalesce(F.col(f"NIGHT_{k}").cast("string"), F.lit("")).alias("NIGHT")) for k in (1, 2)]
-    return ends[0].unionByName(ends[1]).groupBy("EXPOSURE_KEY").agg(F.countDistinct("NIGHT").alias("N_NIGHTS")).where("N_NIGHTS > 1")
+    ends = _exposures(pairs).select("EXPOSURE_KEY", F.coalesce("NIGHT", F.lit("")).alias("NIGHT")).distinct()
+    return ends.groupBy("EXPOSURE_KEY").agg(F.count("*").alias("N_NIGHTS")).where("N_NIGHTS > 1")
+
 
+def shuffled_pairs(pairs: DataFrame, permutations: int, rules: OffsetRules = OffsetRules()) -> DataFrame:
+    """The result of ``prepare`` with nights shuffled among a program's exposures; run numbers the shuffles.
 
-def permutation_control(pairs: DataFrame, permutations: int = DEFAULT_PERMUTATIONS, rules: OffsetRules = OffsetRules()) -> DataFrame:
-    """The fold summaries of ``permutations`` shuffles of nights among a program's exposures, all in the same jobs."""
-    nights = stored(exposure_nights(pairs, list(range(permutations))))
-    rows = pairs.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in range(permutations)])))
+    An exposure has one row with its nights in all shuffles, so pairs are joined before they are multiplied.
+    """
+    nights = exposure_nights(pairs, list(range(permutations)))
+    wide = stored(nights.groupBy("EXPOSURE_KEY").agg(_each(permutations, lambda s: F.max(F.when(F.col("seed") == s, F.col("NIGHT")))).alias("nights")))
+    rows = _usable(pairs, rules).select(*_narrow(pairs), *[c for k in (1, 2) for c in (F.col(f"PROGRAM_{k}").alias(f"p{k}"), F.trim(f"EXPOSURE_KEY_{k}").alias(f"x{k}"))])
+    rows = rows.withColumn("fold", hashed(F.col("GROUP_ID"), rules.folds))
     for k in (1, 2):
-        side = nights.select("seed", F.col("EXPOSURE_KEY").alias(f"_key{k}"), F.col("NIGHT").alias(f"_night{k}"))
-        rows = rows.withColumn(f"_key{k}", F.trim(f"EXPOSURE_KEY_{k}")).join(side, ["seed", f"_key{k}"], "left")
-    shuffled = prepare(rows, rules, ("_night1", "_night2"), ("seed",))
-    summary = run_folds(shuffled, rules, ["seed"])["summary"]
+        rows = rows.join(wide.select(F.col("EXPOSURE_KEY").alias(f"x{k}"), F.col("nights").alias(f"n{k}")), f"x{k}", "left")
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    labels = [label_of(F.col(f"p{k}"), F.element_at(f"n{k}", F.col("run") + 1)).alias(f"L{k}") for k in (1, 2)]
+    return runs.select("run", "GROUP_ID", "GROUP_KIND", "PROGRAM_PAIR", "d", "err", "formal", "fold", *labels).where("L1 <> L2")
+
+
+def permutation_control(pairs: DataFrame, permutations: int = DEFAULT_PERMUTATIONS, rules: OffsetRules = OffsetRules(), strict: bool = True) -> DataFrame:
+    """The fold summaries of ``permutations`` shuffles of nights among a program's exposures, all in the same jobs.
+
+    An exposure with several nights raises a ValueError; with strict=False its smallest night counts.
+    """
+    if strict:
+        examples = [str(r[0]) for r in exposure_conflicts(pairs).orderBy("EXPOSURE_KEY").limit(5).collect()]
+        if examples:
+            raise ValueError(f"Exposures with several nights, for example {', '.join(examples)}")
+    summary = run_folds(shuffled_pairs(pairs, permutations, rules), rules)["summary"].withColumnRenamed("run", "permutation")
     return summary.withColumn("CONTROL", F.lit("SHUFFLED_EXPOSURE_NIGHT_WITHIN_PROGRAM"))
 
 
-def run_experiment(pairs: DataFrame, rules: OffsetRules = OffsetRules(), permutations: int = DEFAULT_PERMUTATIONS) -> dict[str, DataFrame]:
+def run_experiment(pairs: DataFrame, rules: OffsetRules = OffsetRules(), permutations: int = DEFAULT_PERMUTATIONS, strict: bool = True) -> dict[str, DataFrame]:
     """{'summary', 'by_program', 'offsets', 'reproducibility', 'permutations'} of one pair table."""
     prepared = stored(prepare(pairs, rules))
     out = run_folds(prepared, rules)
     gaia = F.count_if(F.col("GROUP_KIND") == "GAIA_SOURCE_ID")
-    counts = prepared.groupBy(F.lit(0).alias("g")).agg(F.count("*").alias("n_label_pairs"), gaia.alias("n_gaia_group_pairs"), (gaia / F.greatest(F.count("*"), F.lit(1))).alias("gaia_group_pair_fraction"))
-    out["summary"] = out["summary"].withColumn("g", F.lit(0)).join(counts, "g", "left").drop("g")
+    counts = prepared.groupBy("run").agg(F.count("*").alias("n_label_pairs"), gaia.alias("n_gaia_group_pairs"), (gaia / F.count("*")).alias("gaia_group_pair_fraction"))
+    out["summary"] = out["summary"].join(counts, "run", "left")
+    out = {name: df.drop("run") for name, df in out.items()}
     out["reproducibility"] = half_reproducibility(prepared, rules)
     if permutations > 0:
-        out["permutations"] = permutation_control(pairs, permutations, rules)
+        out["permutations"] = permutation_control(pairs, permutations, rules, strict)
     return out

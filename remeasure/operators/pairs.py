@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from remeasure.functions.columns import clean_or_unknown
 from remeasure.functions.ranks import numbered
 from remeasure.operators.summary import error_column, value_column
+from remeasure.session import stored
 
 DEFAULT_CAP = 50
 #: Columns of the pair table that each end brings in, as (name, source column).
 _ENDS = ("TARGETID", "SOURCE_ID", "EXPID", "MJD", "FIBER", "NIGHT", "TILEID")
-PAIR_COLUMNS = """GROUP_ID GROUP_KIND TARGETID_1 TARGETID_2 SOURCE_ID_1 SOURCE_ID_2 OBS_KEY_1 OBS_KEY_2 EXPOSURE_KEY_1 EXPOSURE_KEY_2
-EXPID_1 EXPID_2 MJD_1 MJD_2 DELTA_DAYS VRAD_1 VRAD_2 DELTA_VRAD PAIR_ERROR PAIR_Z VRAD_FORMAL_1 VRAD_FORMAL_2 DELTA_VRAD_FORMAL PAIR_ERROR_FORMAL
-PAIR_Z_FORMAL SN_R_MIN PROGRAM_1 PROGRAM_2 PROGRAM_PAIR PROGRAM_DELTA_VRAD PROGRAM_PAIR_Z PROGRAM_DELTA_VRAD_FORMAL PROGRAM_PAIR_Z_FORMAL
-SURVEY_1 SURVEY_2 FIBER_1 FIBER_2 NIGHT_1 NIGHT_2 TILEID_1 TILEID_2 TEFF_MEDIAN LOGG_MEDIAN FEH_MEDIAN""".split()
+# The columns of the pair table.
+PAIR_COLUMNS = (
+    "GROUP_ID", "GROUP_KIND", "TARGETID_1", "TARGETID_2", "SOURCE_ID_1", "SOURCE_ID_2", "OBS_KEY_1", "OBS_KEY_2", "EXPOSURE_KEY_1", "EXPOSURE_KEY_2",
+    "EXPID_1", "EXPID_2", "MJD_1", "MJD_2", "DELTA_DAYS", "VRAD_1", "VRAD_2", "DELTA_VRAD", "PAIR_ERROR", "PAIR_Z", "VRAD_FORMAL_1", "VRAD_FORMAL_2",
+    "DELTA_VRAD_FORMAL", "PAIR_ERROR_FORMAL", "PAIR_Z_FORMAL", "SN_R_MIN", "PROGRAM_1", "PROGRAM_2", "PROGRAM_PAIR", "PROGRAM_DELTA_VRAD", "PROGRAM_PAIR_Z",
+    "PROGRAM_DELTA_VRAD_FORMAL", "PROGRAM_PAIR_Z_FORMAL", "SURVEY_1", "SURVEY_2", "FIBER_1", "FIBER_2", "NIGHT_1", "NIGHT_2", "TILEID_1", "TILEID_2",
+    "TEFF_MEDIAN", "LOGG_MEDIAN", "FEH_MEDIAN",
+)
 
 
 def _text(c: Column, default: str) -> Column:
@@ -23,27 +28,42 @@ def _text(c: Column, default: str) -> Column:
     return F.when(value.isNull() | value.isin("", "nan", "<NA>"), F.lit(default)).otherwise(value)
 
 
+#: Whole numbers beyond a bigint: a group of 5e9 rows has more pairs than that.
+_WHOLE = "decimal(38,0)"
+
+
+def _triangle(n: str) -> Column:
+    """n * (n + 1) / 2 as an exact whole number, for a bigint expression ``n``."""
+    even = f"pmod({n}, 2) = 0"
+    return F.expr(f"cast(cast(if({even}, ({n}) div 2, {n}) as decimal(19,0)) * cast(if({even}, ({n}) + 1, (({n}) + 1) div 2) as decimal(18,0)) as {_WHOLE})")
+
+
 def _positions(cap: int) -> Column:
     """Evenly spaced places among the _pairs pairs of a group, first and last included, cut to whole numbers."""
     last = F.col("_pairs") - 1
     if cap == 1:
-        return F.array(F.lit(0).cast("bigint"))
+        return F.array(F.lit(0).cast(_WHOLE))
     step = last.cast("double") / F.lit(float(cap - 1))
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: F.when(k == cap - 1, last).otherwise(F.floor(k * step)))
-    return F.when(F.col("_pairs") <= cap, F.sequence(F.lit(0).cast("bigint"), last)).otherwise(spaced)
+    # from 2^53 on doubles are whole numbers anyway
+    cut = lambda x: F.when(x < float(2**53), F.floor(x).cast(_WHOLE)).otherwise(x.cast(_WHOLE))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: F.when(k == cap - 1, last.cast(_WHOLE)).otherwise(cut(k * step)))
+    every = F.transform(F.sequence(F.lit(0), F.least(last, F.lit(cap)).cast("int")), lambda k: k.cast(_WHOLE))
+    return F.when(F.col("_pairs") <= cap, every).otherwise(spaced)
 
 
 def pair_places(sizes: DataFrame, cap: int) -> DataFrame:
     """(GROUP_ID, pair_no, i, j): the chosen pairs i < j of groups with group_size rows, numbered row by row.
 
-    i comes from a square root and is then set right in whole numbers.
+    Pairs are counted from the last one, where the rows are shortest: a square root, good to one
+    row for any group size, and a correction in whole numbers give the row.
     """
-    wide = sizes.where("group_size > 1").withColumn("_pairs", F.expr("group_size * (group_size - 1) div 2"))
-    chosen = wide.withColumn("pair_no", F.explode(_positions(cap)))
-    guess = chosen.withColumn("i", F.expr("cast(floor((2 * group_size - 1 - sqrt(greatest(cast(pow(2 * group_size - 1, 2) - 8 * pair_no as double), 0d))) / 2) as bigint)"))
-    before = "({0} * (2 * group_size - {0} - 1) div 2)"
-    exact = guess.withColumn("i", F.expr(f"case when {before.format('i')} > pair_no then i - 1 when {before.format('(i + 1)')} <= pair_no then i + 1 else i end"))
-    return exact.select("GROUP_ID", "pair_no", "i", F.expr(f"pair_no - {before.format('i')} + i + 1").alias("j"))
+    wide = sizes.where("group_size > 1").withColumn("_pairs", _triangle("group_size - 1"))
+    chosen = wide.withColumn("pair_no", F.explode(_positions(cap))).withColumn("_rest", (F.col("_pairs") - 1 - F.col("pair_no")).cast(_WHOLE))
+    guess = chosen.withColumn("_k", F.floor((F.sqrt(8 * F.col("_rest").cast("double") + 1) - 1) / 2))
+    row = F.when(_triangle("_k") > F.col("_rest"), F.col("_k") - 1).when(_triangle("_k + 1") <= F.col("_rest"), F.col("_k") + 1).otherwise(F.col("_k"))
+    exact = guess.withColumn("_k", row)
+    behind = (F.col("_rest") - _triangle("_k")).cast("bigint")
+    return exact.select("GROUP_ID", "pair_no", (F.col("group_size") - 2 - F.col("_k")).alias("i"), (F.col("group_size") - 1 - behind).alias("j"))
 
 
 def epoch_pairs(epochs: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
@@ -71,8 +91,8 @@ def epoch_pairs(epochs: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
         col("SN_R").alias("SN_R"), program.alias("PROGRAM"), survey.alias("SURVEY"), *[col(c).alias(c) for c in ("TEFF", "LOGG", "FEH")],
     )
     order = [F.asc_nulls_last("MJD"), F.asc_nulls_last("EXPID"), "OBS_KEY", "VRAD_FORMAL", "ERR_FORMAL", "VRAD"]
-    ranked = numbered(plain, ["GROUP_ID"], F.floor("MJD"), order)
-    sizes = plain.groupBy("GROUP_ID").agg(F.count("*").alias("group_size"))
+    ranked = stored(numbered(stored(plain), ["GROUP_ID"], F.floor("MJD"), order))
+    sizes = ranked.where("place = 0").select("GROUP_ID", "group_size")
     places = pair_places(sizes, cap) if cap >= 1 else pair_places(sizes, 1).where(F.lit(False))
     a, b = ranked.alias("a"), ranked.alias("b")
     first = places.alias("p").join(a, F.col("p.GROUP_ID").eqNullSafe(F.col("a.GROUP_ID")) & (F.col("p.i") == F.col("a.place")))

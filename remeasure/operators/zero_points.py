@@ -1,13 +1,15 @@
-"""Zero points of one dimension at a time (program, night, tile, exposure or fiber)."""
+"""Zero points of one dimension at a time (program, night, tile, exposure or fiber), all dimensions in the same jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remeasure.functions.columns import is_finite
-from remeasure.functions.ranks import grouped_quantiles, same
-from remeasure.operators.label_offsets import OffsetRules, endpoint_counts, hashed, pair_sums, _solved
+from remeasure.functions.ranks import column_quantiles, grouped_quantiles, same
+from remeasure.operators.label_offsets import OffsetRules, hashed, pair_sums, solved_offsets
 from remeasure.session import stored
 
 DIMENSIONS = ("PROGRAM", "NIGHT", "TILEID", "EXPID", "FIBER")
@@ -19,58 +21,82 @@ def base_pairs(pairs: DataFrame, dimension: str, min_days: float | None = 1.0) -
     label = lambda k: F.coalesce(F.trim(F.col(f"{dimension}_{k}").cast("string")), F.lit(""))
     d, err = F.col("DELTA_VRAD"), F.col("PAIR_ERROR")
     usable = is_finite(d) & is_finite(err) & (err > 0)
-    if min_days is not None:
+    if min_days is not None and "DELTA_DAYS" in pairs.columns:
         usable &= F.col("DELTA_DAYS") > min_days
-    rows = pairs.where(usable).select("GROUP_ID", label(1).alias("L1"), label(2).alias("L2"), "PROGRAM_PAIR", d.alias("d"), err.alias("err"), F.col("PAIR_Z").alias("z"))
+    stratum = F.col("PROGRAM_PAIR") if "PROGRAM_PAIR" in pairs.columns else F.lit(None).cast("string")
+    rows = pairs.where(usable).select("GROUP_ID", label(1).alias("L1"), label(2).alias("L2"), stratum.alias("PROGRAM_PAIR"), d.alias("d"), err.alias("err"), F.col("PAIR_Z").alias("z"))
     return rows.where("L1 <> '' and L2 <> ''")
 
 
-def _z_metrics(rows: DataFrame, keys: list[str], z: Column, suffix: str) -> DataFrame:
-    valid = rows.select(*keys, z.alias("_z")).where(is_finite(F.col("_z")))
-    tail = lambda k: F.avg((F.abs("_z") > k).cast("int")).alias(f"tail_{k}_{suffix}")
-    counts = valid.groupBy(*keys).agg(F.count("*").alias(f"n_{suffix}"), tail(3), tail(5))
-    q = grouped_quantiles(valid, keys, "_z", {"lo": 0.16, "mid": 0.5, "hi": 0.84})
-    both = counts.alias("c").join(q.alias("q"), same("c", "q", keys))
-    return both.select("c.*", F.col("q.mid").alias(f"median_z_{suffix}"), ((F.col("q.hi") - F.col("q.lo")) / 2).alias(f"width_z_{suffix}"))
+def _z_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, quantiles and tails of the finite z before and after, side by side; a side without finite values has 0 pairs and nulls."""
+    sides = ("before", "after")
+    finite = [F.when(is_finite(F.col(f"z_{s}")), F.col(f"z_{s}")).alias(f"z_{s}") for s in sides]
+    rows = scored.select(*keys, *finite)
+    tail = lambda s, k: F.avg((F.abs(f"z_{s}") > k).cast("int")).alias(f"tail_{k}_{s}")
+    counts = rows.groupBy(*keys).agg(*[c for s in sides for c in (F.count(f"z_{s}").alias(f"n_{s}"), tail(s, 3), tail(s, 5))])
+    quantiles = column_quantiles(rows, keys, {f"z_{s}": {f"lo_{s}": 0.16, f"median_z_{s}": 0.5, f"hi_{s}": 0.84} for s in sides}, kept=True)
+    both = counts.alias("c").join(quantiles.alias("q"), same("c", "q", keys), "left")
+    return both.select("c.*", *[c for s in sides for c in (F.col(f"q.median_z_{s}"), ((F.col(f"q.hi_{s}") - F.col(f"q.lo_{s}")) / 2).alias(f"width_z_{s}"))])
 
 
-def estimate_zero_points(pairs: DataFrame, dimension: str, rules: OffsetRules = ZERO_POINT_RULES, train_fraction: float = 0.5, interday_only: bool = True) -> dict[str, DataFrame]:
-    """{'summary', 'by_program', 'offsets'} of one dimension; ValueError for an unknown one.
+def zero_point_calibration(pairs: DataFrame, dimensions: list[str] | None = None, rules: OffsetRules = ZERO_POINT_RULES, train_fraction: float = 0.5, interday_only: bool = True) -> dict[str, DataFrame]:
+    """{'summary', 'by_program', 'offsets'} of every known dimension; unknown ones, and those without columns, are left out.
 
-    Sources are split by hash. Labels are counted over the training pairs, then pairs with
-    residuals beyond ``max_abs_z`` or one label only leave the fit. Held-out pairs are scored with
-    0 for labels that the training doesn't know.
+    Sources are split by hash, null ones together. Training pairs beyond ``max_abs_z`` leave first;
+    labels are then counted over both ends of what is left, and those with enough ends are kept,
+    whether or not an equation holds them: without one their offset is 0 before the median of all
+    kept labels is taken off. Held-out pairs are scored with 0 for labels that aren't kept. A
+    dimension with fewer than two kept labels, or no equation, has equal metrics before and after
+    and no rows in the other tables; one without usable pairs has zeros and nulls.
     """
-    if dimension not in DIMENSIONS:
-        raise ValueError(f"Unknown dimension: {dimension}")
-    model = F.lit(dimension).alias("model")
-    rows = stored(base_pairs(pairs, dimension, rules.min_delta_days if interday_only else None).select(model, "*", (hashed(F.col("GROUP_ID"), 1000) < train_fraction * 1000).alias("in_train")))
-    train, holdout = rows.where("in_train"), rows.where("not in_train")
-    labels = stored(endpoint_counts(train).where(F.col("n") >= rules.min_pairs_per_label))
-    kept = train.where(F.abs("z") <= rules.max_abs_z)
+    known = [d for d in dict.fromkeys(d.upper() for d in dimensions or DIMENSIONS) if d in DIMENSIONS and f"{d}_1" in pairs.columns]
+    spark = pairs.sparkSession
+    days = rules.min_delta_days if interday_only else None
+    schema = "dimension string"
+    if not known:
+        empty = spark.createDataFrame([], schema)
+        return {"summary": empty, "by_program": empty, "offsets": empty}
+    rows = reduce(DataFrame.unionByName, [base_pairs(pairs, d, days).select(F.lit(d).alias("run"), "*") for d in known])
+    split = hashed(F.coalesce(F.col("GROUP_ID").cast("string"), F.lit("")), 1000) < train_fraction * 1000
+    rows = stored(rows.withColumn("in_train", split))
+    train = rows.where("in_train").where(F.abs("z") <= rules.max_abs_z)
+    ends = train.select("run", F.explode(F.array("L1", "L2")).alias("label")).groupBy("run", "label").agg(F.count("*").alias("n_endpoints"))
+    labels = stored(ends.where(F.col("n_endpoints") >= rules.min_pairs_per_label))
+    kept = train.where("L1 <> L2")
     for end in ("L1", "L2"):
-        kept = kept.join(labels.select("model", F.col("label").alias(end)), ["model", end], "left_semi")
-    offsets = _solved(pair_sums(kept.where("L1 <> L2"), F.lit(True), rules.balance_groups), rules, "string")
-    scored = holdout
+        kept = kept.join(labels.select("run", F.col("label").alias(end)), ["run", end], "left_semi")
+    yes = F.array(F.lit(True))
+    sums = stored(pair_sums(kept.withColumns({"use": yes, "kept": yes}), 1, rules.balance_groups))
+    counted = sums.groupBy("run").agg(F.sum("n").alias("n_train_pairs")).where("n_train_pairs > 0")
+    found = labels.join(counted.select("run"), "run", "left_semi").join(solved_offsets(sums, rules).select("run", "label", "offset"), ["run", "label"], "left").withColumn("offset", F.coalesce("offset", F.lit(0.0)))
+    found = stored(found)
+    middle = grouped_quantiles(found, ["run"], "offset", {"middle": 0.5}, kept=True)
+    offsets = stored(found.join(middle, "run").select("run", "label", (F.col("offset") - F.col("middle")).alias("offset"), "n_endpoints"))
+    scored = rows.where("not in_train")
     for k in (1, 2):
-        scored = scored.join(offsets.select("model", F.col("label").alias(f"L{k}"), F.col("offset").alias(f"o{k}")), ["model", f"L{k}"], "left")
+        scored = scored.join(offsets.select("run", F.col("label").alias(f"L{k}"), F.col("offset").alias(f"o{k}")), ["run", f"L{k}"], "left")
     change = F.coalesce("o1", F.lit(0.0)) - F.coalesce("o2", F.lit(0.0))
-    scored = stored(scored.select("model", "PROGRAM_PAIR", "z", ((F.col("d") - change) / F.col("err")).alias("z_after")))
-
-    def metrics(keys: list[str]) -> DataFrame:
-        a, b = _z_metrics(scored, keys, F.col("z"), "before"), _z_metrics(scored, keys, F.col("z_after"), "after")
-        return a.alias("a").join(b.alias("b"), same("a", "b", keys)).select("a.*", *[f"b.{c}" for c in b.columns if c not in keys])
+    fitted = stored(offsets.select("run").distinct().withColumn("fitted", F.lit(True)))
+    after = F.when(F.col("fitted"), (F.col("d") - change) / F.col("err")).otherwise(F.col("z"))
+    scored = stored(scored.join(fitted, "run", "left").select("run", "PROGRAM_PAIR", "fitted", F.col("z").alias("z_before"), after.alias("z_after")))
+    every = spark.createDataFrame([(d,) for d in known], "run string")
+    n_labels = labels.groupBy("run").agg(F.count("*").alias("n_labels"))
+    # without a fit all held-out pairs count, with one those that have a finite z
+    held = scored.groupBy("run").agg(F.when(F.max("fitted"), F.count_if(is_finite(F.col("z_before")))).otherwise(F.count("*")).alias("n_holdout_pairs"))
+    largest = offsets.groupBy("run").agg(F.max(F.abs("offset")).alias("max_abs_offset"))
+    summary = every
+    for part in (n_labels, counted, held, largest, _z_metrics(scored, ["run"]).drop("n_before", "n_after")):
+        summary = summary.join(part, "run", "left")
+    summary = summary.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_labels", "n_train_pairs", "n_holdout_pairs")})
+    change_of = {f"delta_{c}": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("width_z", "tail_5")}
+    by_program = _z_metrics(scored.where("fitted"), ["run", "PROGRAM_PAIR"])
+    out = {"summary": summary.withColumns(change_of), "by_program": by_program, "offsets": offsets}
+    return {name: df.withColumnRenamed("run", "dimension") for name, df in out.items()}
 
-    fit = offsets.groupBy("model").agg(F.count("*").alias("n_labels"), F.max("n_train").alias("n_train_pairs"), F.max("r1norm").alias("r1norm"))
-    table = offsets.join(labels, ["model", "label"], "left").select("model", "label", "offset", F.col("n").alias("n_endpoints"))
-    return {"summary": metrics(["model"]).join(fit, "model", "left"), "by_program": metrics(["model", "PROGRAM_PAIR"]), "offsets": table}
 
-
-def zero_point_calibration(pairs: DataFrame, dimensions: list[str] | None = None, rules: OffsetRules = ZERO_POINT_RULES) -> dict[str, DataFrame]:
-    """The results of every known dimension in one table each; unknown ones are left out."""
-    known = [d for d in dimensions or DIMENSIONS if d in DIMENSIONS and f"{d}_1" in pairs.columns]
-    found = [estimate_zero_points(pairs, d, rules) for d in known]
-    out: dict[str, DataFrame] = {}
-    for part in found:
-        out = {name: out[name].unionByName(df) if name in out else df for name, df in part.items()}
-    return out
+def estimate_zero_points(pairs: DataFrame, dimension: str, rules: OffsetRules = ZERO_POINT_RULES, train_fraction: float = 0.5, interday_only: bool = True) -> dict[str, DataFrame]:
+    """``zero_point_calibration`` of one dimension; ValueError for an unknown one."""
+    if dimension.upper() not in DIMENSIONS:
+        raise ValueError(f"Unknown dimension: {dimension}")
+    return zero_point_calibration(pairs, [dimension], rules, train_fraction, interday_only)

@@ -8,6 +8,7 @@ import struct
 
 import numpy as np
 import pytest
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from remeasure.functions.chi2 import log_upper_tail
@@ -75,6 +76,23 @@ def test_max_pair_sigma_equals_all_pairs(spark):
     assert found[99] is None
 
 
+def test_chi_square_of_fast_sources_keeps_its_digits(spark):
+    rng = np.random.default_rng(3)
+    v, e = 1e7 + rng.normal(0, 1e-3, 50), rng.uniform(5e-4, 2e-3, 50)
+    df = spark.createDataFrame([(1, float(a), float(b), True) for a, b in zip(v, e)], "TARGETID long, VRAD double, VRAD_ERR double, IS_GOOD boolean")
+    mean = np.average(v - 1e7, weights=e**-2)
+    assert math.isclose(summary.summarize_sources(df).first().chi2_const, (((v - 1e7 - mean) / e) ** 2).sum(), rel_tol=1e-5)
+
+
+def test_frontiers_where_error_grows_with_distance(spark, monkeypatch):
+    monkeypatch.setattr(summary, "FRONTIER_PART", 100)
+    rows = [(1, float(s * x), float(0.1 + x * x / 50)) for x in range(1, 200) for s in (1, -1)] + [(2, 5.0, 1.0)] * 3 + [(3, None, 1.0)]
+    df = spark.createDataFrame(rows, "g long, v double, e double")
+    found = {r.g: r.max_pair_sigma for r in summary.max_pair_sigma(df, "g", "v", "e").collect()}
+    own = [(v, e) for g, v, e in rows if g == 1]
+    assert math.isclose(found[1], max(abs(a - b) / math.hypot(c, d) for a, c in own for b, d in own), rel_tol=1e-12) and found[2] == 0.0 and 3 not in found
+
+
 def test_variable_source_is_classified(spark):
     rows = [(42, 0.0, 0.5, 60000.0), (42, 20.0, 0.5, 60010.0), (42, -15.0, 0.5, 60020.0), (43, 1.0, 0.5, 60000.0), (44, None, 0.5, 60000.0)]
     df = quality.with_quality(spark.createDataFrame(rows, "TARGETID long, VRAD double, VRAD_ERR double, MJD double"))
@@ -111,6 +129,15 @@ def test_capped_places_equal_linspace(spark, cap):
         assert sorted(found[n]) == [(int(p), int(every[p][0]), int(every[p][1])) for p in at]
 
 
+@pytest.mark.parametrize("n", [10**9, 3 * 10**9 + 7, 33 * 10**10])
+def test_places_in_huge_groups_are_exact(spark, n):
+    rows = pairs.pair_places(spark.createDataFrame([(1, n)], "GROUP_ID long, group_size long"), 50).collect()
+    assert len(rows) == 50 and (rows[0].i, rows[0].j) == (0, 1)
+    for r in rows:
+        assert 0 <= r.i < r.j < n and r.i * (2 * n - r.i - 1) // 2 + r.j - r.i - 1 == int(r.pair_no)
+    assert max(int(r.pair_no) for r in rows) == n * (n - 1) // 2 - 1
+
+
 def test_default_cap_is_that_of_the_reference(spark):
     from remeasure.__main__ import parser
 
@@ -179,7 +206,7 @@ def test_twenty_permutations_by_default(spark, monkeypatch):
     monkeypatch.setattr(label_offsets, "run_folds", lambda prepared, *_: {name: prepared for name in ("summary", "by_program", "offsets")})
     monkeypatch.setattr(label_offsets, "half_reproducibility", lambda prepared, *_: prepared)
     shuffled = label_offsets.run_experiment(label_pairs(spark))["permutations"]
-    assert shuffled.select("seed").distinct().count() == 20
+    assert shuffled.select("permutation").distinct().count() == 20
     QUERIES["permutation_control"](spark, DATA)
     assert seeds == [list(range(20))] * 2
 
@@ -203,6 +230,71 @@ def test_solution_meets_the_normal_equations():
     assert np.allclose(values, values.mean(), atol=1e-9)
 
 
+def random_sums(n, links, seed):
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, n, links), rng.integers(0, n, links)
+    low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    rows = pd.DataFrame({"L1": [f"n{k:06d}" for k in low], "L2": [f"n{k:06d}" for k in high], "s0": rng.random(len(low)) + 0.1, "s1": rng.normal(size=len(low)), "s2": 1.0, "n": 1})
+    return rows.groupby(["L1", "L2"], as_index=False).sum()
+
+
+@pytest.mark.parametrize("damp", [0.2, 0.0])
+def test_thirty_thousand_labels_in_one_task(damp):
+    sums = random_sums(30_000, 90_000, 7)
+    out = label_offsets.solve_sums(sums, damp, False)
+    assert len(out) > 29_000
+    x = out.set_index("label")["offset"]
+    rest = sums["s1"].to_numpy() - sums["s0"].to_numpy() * (x[sums["L1"]].to_numpy() - x[sums["L2"]].to_numpy())
+    gap = np.bincount(np.searchsorted(out["label"], sums["L1"]), rest, len(out)) - np.bincount(np.searchsorted(out["label"], sums["L2"]), rest, len(out))
+    assert np.abs(gap - damp**2 * x.to_numpy()).max() < 1e-7
+
+
+@pytest.mark.parametrize("damp", [0.2, 0.0])
+def test_rounds_of_joins_give_the_same_solution(spark, monkeypatch, damp):
+    import pandas as pd
+
+    models = [random_sums(40, 70, k).assign(run=0, m=k) for k in (0, 1)]
+    rules = OffsetRules(damp=damp)
+    sums = spark.createDataFrame(pd.concat(models)[["run", "m", "L1", "L2", "s0", "s1", "s2", "n"]])
+    found = {(r.m, r.label): (r.offset, r.component) for r in label_offsets._solved_in_rounds(sums, rules).collect()}
+    for k, own in enumerate(models):
+        for r in label_offsets.solve_sums(own, damp, True).itertuples():
+            offset, component = found.pop((k, r.label))
+            assert abs(offset - r.offset) < 1e-7 and component == r.component
+    assert not found
+
+
+def test_large_models_are_solved_in_rounds(spark, monkeypatch):
+    rules = OffsetRules(folds=2, min_pairs_per_label=10, damp=0.01, clip_rounds=1)
+    rows = label_offsets.prepare(label_pairs(spark), rules)
+    few = rows_of(label_offsets.run_folds(rows, rules)["offsets"].selectExpr("fold", "label", "round(offset, 5)", "component"))
+    monkeypatch.setattr(label_offsets, "LOCAL_SUMS", 3)
+    assert rows_of(label_offsets.run_folds(rows, rules)["offsets"].selectExpr("fold", "label", "round(offset, 5)", "component")) == few and len(few) == 12
+
+
+def test_folds_that_cant_be_scored(spark):
+    rules = OffsetRules(folds=3, min_pairs_per_label=10_000)
+    out = label_offsets.run_folds(label_offsets.prepare(label_pairs(spark), rules), rules)
+    rows = out["summary"].collect()
+    assert sorted(r.fold for r in rows) == [0, 1, 2] and all((r.n_labels, r.n_holdout_same_component, r.raw_width_before) == (0, 0, None) for r in rows)
+    assert sum(r.n_holdout_cross_component for r in rows) == 360 and out["by_program"].count() == 0 and out["offsets"].count() == 0
+    assert label_offsets.half_reproducibility(label_offsets.prepare(label_pairs(spark), rules), rules).count() == 0
+
+
+def test_shuffles_move_something_and_conflicts_raise(spark):
+    columns = "EXPOSURE_KEY_1 string, PROGRAM_1 string, NIGHT_1 string, EXPOSURE_KEY_2 string, PROGRAM_2 string, NIGHT_2 string"
+    df = spark.createDataFrame([("a", "DARK", "1", "b", "DARK", "2"), ("c", "BRIGHT", "3", "c", "BRIGHT", "3")], columns)
+    seeds = list(range(8))
+    for seed in seeds:
+        own = {r.EXPOSURE_KEY: r.NIGHT for r in label_offsets.exposure_nights(df, seeds).where(f"seed = {seed}").collect()}
+        assert own == {"a": "2", "b": "1", "c": "3"}  # two exposures always change places
+    torn = label_pairs(spark).withColumn("NIGHT_1", F.when(F.col("GROUP_ID") == 1, "19990101").otherwise(F.col("NIGHT_1")))
+    with pytest.raises(ValueError, match="several nights"):
+        label_offsets.permutation_control(torn, 1, OffsetRules(folds=2, min_pairs_per_label=10))
+
+
 def test_one_night_for_each_exposure_after_shuffling(spark):
     df = label_pairs(spark)
     nights = label_offsets.exposure_nights(df, [0, 1]).collect()
@@ -222,6 +314,25 @@ def test_zero_points(spark):
         zero_points.estimate_zero_points(df, "NO_SUCH")
 
 
+def test_zero_points_keep_labels_and_null_groups(spark):
+    # C is only paired with itself: kept, without an equation; the null group is one source
+    rows = [(None if g % 7 == 0 else g, 2.0 if g % 2 else -2.0, 1.0, 2.0 if g % 2 else -2.0, *(("A", "B") if g % 2 else ("B", "A")), 2.0) for g in range(400)]
+    rows += [(g, 0.5, 1.0, 0.5, "C", "C", 2.0) for g in range(1000, 1100)] + [(g, 90.0, 1.0, 90.0, "D", "A", 2.0) for g in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "GROUP_ID long, DELTA_VRAD double, PAIR_ERROR double, PAIR_Z double, PROGRAM_1 string, PROGRAM_2 string, DELTA_DAYS double")
+    rules = OffsetRules(min_pairs_per_label=10, damp=0.0, balance_groups=False, center_components=False)
+    out = zero_points.zero_point_calibration(df, ["program", "FIBER"], rules)
+    offsets = {r.label: (round(r.offset, 6), r.n_endpoints > 0) for r in out["offsets"].collect()}
+    # D has only pairs beyond 5 errors: they left before labels were counted
+    assert offsets == {"A": (1.0, True), "B": (-1.0, True), "C": (0.0, True)}
+    row = out["summary"].first()
+    assert row.n_labels == 3 and row.max_abs_offset == 1.0
+    split = df.select((label_offsets.hashed(F.coalesce(F.col("GROUP_ID").cast("string"), F.lit("")), 1000) < 500).alias("t"), "GROUP_ID").collect()
+    assert row.n_holdout_pairs == sum(not r.t for r in split) and any(r.GROUP_ID is None for r in split)
+    few = zero_points.estimate_zero_points(df, "PROGRAM", OffsetRules(min_pairs_per_label=10_000))
+    row = few["summary"].first()
+    assert (row.n_labels, row.delta_width_z, few["offsets"].count(), few["by_program"].count()) == (0, 0.0, 0, 0) and row.width_z_after == row.width_z_before
+
+
 def fits_file(path, tables):
     """A minimal file: tables is a list of (name, [(column, code, values)])."""
 
