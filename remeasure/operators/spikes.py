@@ -1,9 +1,9 @@
 """Problem 1: implausible readings, flagged against what is normal for their own source.
 
-Method: a robust autoregression of order one is fitted to each source's readings in their
-order. Residuals are tested for additive outliers and level shifts; the strongest effects are
-taken out and the tests repeated until nothing stands out. Runs of equal readings (stuck) and
-physically impossible readings are told apart from spikes.
+Method: a robust autoregression of order one is fitted once to all of a source's readings in
+their order, whatever their number. Residuals are tested for additive outliers and level shifts;
+the strongest effects are taken out and the tests repeated until nothing stands out. Runs of equal
+readings (stuck) and physically impossible readings are told apart from spikes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remeasure.functions.columns import is_finite, is_reading
+from remeasure.functions.ranks import grouped_quantiles, same
 from remeasure.session import stored
 
 
@@ -34,10 +35,13 @@ class SpikeRules:
 
 #: (code, table, field); the code stands for the field inside the job.
 FIELDS = ((0, "rvtab", "vrad"), (1, "rvtab", "vrad_err"), (2, "pairs", "pair_z"))
-#: A source with more readings than this is worked on in pieces that overlap by CONTEXT readings.
+#: A source with more readings than this is tested in pieces that overlap by CONTEXT readings; what
+#: is normal for it (median, spread, autoregression, residual scale) is that of the whole source all the same.
 PIECE, CONTEXT = 20_000, 16
-#: Passes of tests over one chunk; what still stands out after the last one is flagged too.
-PASSES = 60
+#: The autoregression is fitted to readings clipped at so many spreads, and stays below 1.
+CLIP, MOST_PHI = 2.5, 0.95
+MAD_TO_SIGMA = 1.4826
+_NORMAL = ("center", "spread", "phi", "scale")
 _FLAGGED = "field tinyint, rec_id bigint, is_outlier boolean, is_shifted boolean, is_spike boolean, is_stuck boolean, is_impossible boolean"
 
 
@@ -59,32 +63,54 @@ def readings(rvtab: DataFrame, pairs: DataFrame, rules: SpikeRules = SpikeRules(
 
 
 def _in_pieces(known: DataFrame) -> DataFrame:
-    """``known`` with piece, own, center, spread and n_finite; the last three only for sources in several pieces.
+    """``known`` with piece, own, n_finite and what is normal for the source; these are null for sources in one piece, whose task finds them.
 
     Long sources are numbered through (start of the slot plus place in it) and cut by number;
-    neighbours share CONTEXT readings, of which each belongs to one piece only. Their median and
-    spread come from mergeable quantile sketches with a rank error of 1e-4 of the readings.
+    neighbours share CONTEXT readings, of which each belongs to one piece only. The same statistics
+    as in ``_judge`` are made of the whole source here: exact quantiles, products of neighbours and
+    the median size of the residuals.
     """
     key = ["field", "source"]
-    sizes = known.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(is_finite(F.col("value"))).alias("n_finite"))
-    long = sizes.where(F.col("n") > PIECE).select(*key, F.col("n_finite").alias("n_long"))
+    sizes = known.groupBy(*key).agg(F.count("*").alias("n"))
+    long = stored(sizes.where(F.col("n") > PIECE).select(*key, F.lit(True).alias("is_long")))
+    none = {"piece": F.lit(0).cast("bigint"), "own": F.lit(True), "n_finite": F.lit(None).cast("bigint"), **{c: F.lit(None).cast("double") for c in _NORMAL}}
+    if long.isEmpty():
+        return known.withColumns(none)
     marked = known.join(long, key, "left")
-    whole = marked.where("n_long is null").select(*known.columns, F.lit(0).cast("bigint").alias("piece"), F.lit(True).alias("own"))
-    whole = whole.select("*", *[F.lit(None).cast("double").alias(c) for c in ("center", "spread")], F.lit(None).cast("bigint").alias("n_finite"))
-    cut = marked.where("n_long is not null")
-    quantiles = F.percentile_approx("value", [0.16, 0.5, 0.84], 10_000).alias("q")
-    normal = cut.where(is_finite(F.col("value"))).groupBy(*key).agg(quantiles, F.count("*").alias("n_finite"))
-    normal = normal.select(*key, F.col("q")[1].alias("center"), ((F.col("q")[2] - F.col("q")[0]) / 2).alias("spread"), "n_finite")
+    whole = marked.where("is_long is null").drop("is_long").withColumns(none)
+    cut = stored(marked.where("is_long").drop("is_long"))
     slots = cut.groupBy(*key, "slot").agg(F.count("*").alias("n"))
     before = Window.partitionBy(*key).orderBy(F.col("slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = slots.select(*key, "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy(*key, "slot").orderBy("at", "rec_id")) - 1
-    same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*key, "slot"]])
-    numbered = cut.withColumn("place", place).alias("c").join(starts.alias("s"), same).select("c.*", (F.col("place") + F.col("start")).alias("index"))
+    numbered = cut.withColumn("place", place).alias("c").join(starts.alias("s"), same("c", "s", [*key, "slot"])).select("c.*", (F.col("place") + F.col("start")).alias("index"))
     piece, rest = F.expr(f"index div {PIECE}"), F.col("index") % PIECE
     pieces = F.array_compact(F.array(piece, F.when((rest < CONTEXT) & (piece > 0), piece - 1), F.when(rest >= PIECE - CONTEXT, piece + 1)))
-    spread = numbered.withColumn("mine", piece).withColumn("piece", F.explode(pieces)).withColumn("own", F.col("piece") == F.col("mine"))
-    return whole.unionByName(spread.join(normal, key).select(whole.columns))
+    spread = stored(numbered.withColumn("mine", piece).withColumn("piece", F.explode(pieces)).withColumn("own", F.col("piece") == F.col("mine")))
+    normal = _normal(spread, key)
+    return whole.unionByName(spread.join(normal, key, "left").select(whole.columns))
+
+
+def _normal(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., center, spread, phi, scale, n_finite) of the finite readings of sources in pieces; null where a source has none."""
+    finite = pieces.where(is_finite(F.col("value")))
+    own = finite.where("own")
+    counts = own.groupBy(*key).agg(F.count("*").alias("n_finite"))
+    quantiles = grouped_quantiles(own, key, "value", {"low": 0.16, "center": 0.5, "high": 0.84}, kept=True)
+    usual = stored(counts.join(quantiles, key).select(*key, "n_finite", "center", ((F.col("high") - F.col("low")) / 2).alias("spread")))
+    before = F.lag("value").over(Window.partitionBy(*key, "piece").orderBy("at", "rec_id"))
+    # the first reading of a source has none before it; that of a piece is not its own
+    pairs = finite.withColumn("before", before).where("own").join(usual, key)
+    z, back = F.col("value") - F.col("center"), F.col("before") - F.col("center")
+    clip = lambda x: F.when(x.isNotNull(), F.greatest(F.least(x, CLIP * F.col("spread")), -CLIP * F.col("spread")))
+    pairs = stored(pairs.select(*key, z.alias("z"), back.alias("back"), (clip(z) * clip(back)).alias("product"), (clip(back) ** 2).alias("square")))
+    raw = F.sum("product") / F.sum("square")
+    phi = F.when(F.sum("square") > 0, F.greatest(F.least(raw, F.lit(MOST_PHI)), F.lit(-MOST_PHI))).otherwise(0.0)
+    fits = stored(pairs.groupBy(*key).agg(phi.alias("phi")))
+    residual = F.when(F.col("back").isNull(), F.col("z") * F.sqrt(1 - F.col("phi") ** 2)).otherwise(F.col("z") - F.col("phi") * F.col("back"))
+    sizes = grouped_quantiles(pairs.join(fits, key).select(*key, F.abs(residual).alias("size")), key, "size", {"size": 0.5})
+    joined = usual.join(fits, key).join(sizes, key)
+    return joined.select(*key, "center", "spread", "phi", F.least(MAD_TO_SIGMA * F.col("size"), F.col("spread")).alias("scale"), "n_finite")
 
 
 def _segment_quantiles(v: np.ndarray, seg: np.ndarray, count: np.ndarray, probs: tuple[float, ...]) -> list[np.ndarray]:
@@ -104,22 +130,35 @@ def _segment_quantiles(v: np.ndarray, seg: np.ndarray, count: np.ndarray, probs:
     return out
 
 
-def _robust_ar_outliers(x: np.ndarray, seg: np.ndarray, count: np.ndarray, spread: np.ndarray, critical: float) -> tuple[np.ndarray, np.ndarray]:
-    """(outlier, shifted) marks for centred readings ``x`` of sorted segments.
-
-    phi is estimated from readings clipped at 2.5 spreads, the residual scale by their median
-    absolute size, at most the spread. In every pass the segments in which something exceeds
-    ``critical`` either lose their strongest level shift or all additive outliers that are local
-    maxima, whichever is stronger, and are tested again.
+def _autoregression(x: np.ndarray, seg: np.ndarray, count: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phi, scale) of the centred readings ``x`` of sorted segments: phi from readings clipped at CLIP spreads, the
+    residual scale from the median size of the residuals, at most the spread."""
+    n = len(count)
+    if not len(x):
+        return np.zeros(n), np.zeros(n)
+    first = np.concatenate([[True], seg[1:] != seg[:-1]])
+    back = np.where(first, 0.0, np.concatenate([[0.0], x[:-1]]))
+    bound = CLIP * spread[seg]
+    b = np.clip(back, -bound, bound)
+    product, square = np.bincount(seg, np.clip(x, -bound, bound) * b, n), np.bincount(seg, b * b, n)
+    phi = np.divide(product, square, out=np.zeros(n), where=square > 0).clip(-MOST_PHI, MOST_PHI)
+    size = np.abs(np.where(first, x * np.sqrt(1 - phi[seg] ** 2), x - phi[seg] * back))
+    return phi, np.fmin(MAD_TO_SIGMA * _segment_quantiles(size, seg, count, (0.5,))[0], spread)
+
+
+def _robust_ar_outliers(x: np.ndarray, seg: np.ndarray, spread: np.ndarray, phi: np.ndarray, scale: np.ndarray, critical: float) -> tuple[np.ndarray, np.ndarray]:
+    """(outlier, shifted) marks for centred readings ``x`` of sorted segments with autoregressions (phi, scale).
+
+    In every pass the segments in which something exceeds ``critical`` either lose their strongest
+    level shift or all additive outliers that are local maxima, whichever is stronger, and are tested
+    again, until nothing stands out. A reading is taken for an outlier, and a level for shifted at a
+    reading, only once, so there are at most twice as many passes as readings.
     """
     n = len(x)
-    outlier, shifted = np.zeros(n, bool), np.zeros(n, bool)
+    outlier, shifted, moved_at = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     active = np.arange(n)
-    ends = np.cumsum(count)
     y = x.copy()
-    for _ in range(PASSES):
-        if not len(active):
-            break
+    while len(active):
         s, z = seg[active], y[active]
         # segments of this pass, numbered from 0
         first = np.concatenate([[True], s[1:] != s[:-1]])
@@ -127,28 +166,22 @@ def _robust_ar_outliers(x: np.ndarray, seg: np.ndarray, count: np.ndarray, sprea
         of, start = s[first], np.flatnonzero(first)
         size = np.diff(np.append(start, len(z)))
         last = np.append(first[1:], True)
-        wide = spread[of]
-        back = np.where(first, 0.0, np.concatenate([[0.0], z[:-1]]))
-        bound = 2.5 * wide[k]
-        c, b = np.clip(z, -bound, bound), np.clip(back, -bound, bound)
-        power = np.add.reduceat(b * b, start)
-        phi = np.divide(np.add.reduceat(c * b, start), power, out=np.zeros(len(of)), where=power > 0).clip(-0.95, 0.95)
-        f = phi[k]
-        r = z - f * back
-        r[first] *= np.sqrt(1 - phi**2)
-        scale = np.minimum(1.4826 * _segment_quantiles(np.abs(r), k, size, (0.5,))[0], wide)
-        sigma = np.maximum(scale, 1e-9 * (1 + wide))[k]
+        f = phi[of][k]
+        sigma = np.maximum(scale[of], 1e-9 * (1 + spread[of]))[k]
+        r = z - f * np.where(first, 0.0, np.concatenate([[0.0], z[:-1]]))
+        r[first] *= np.sqrt(1 - f[first] ** 2)
         ahead = np.where(last, 0.0, np.append(r[1:], 0.0))
         gain = np.where(last, 1.0, 1 + f**2)
         effect = (r - np.where(last, 0.0, f) * ahead) / gain
-        additive = np.abs(effect) * np.sqrt(gain) / sigma
+        additive = np.where(outlier[active], 0.0, np.abs(effect) * np.sqrt(gain) / sigma)
         total = np.cumsum(r)
-        after = total[ends_of := (start + size - 1)][k] - total
-        later = (ends_of[k] - np.arange(len(z))).astype(float)
+        ends = start + size - 1
+        after = total[ends][k] - total
+        later = (ends[k] - np.arange(len(z))).astype(float)
         level_gain = 1 + later * (1 - f) ** 2
         level = (r + (1 - f) * after) / level_gain
         # a shift needs readings on both sides
-        shift = np.where((later >= 2) & ~first, np.abs(level) * np.sqrt(level_gain) / sigma, 0.0)
+        shift = np.where((later >= 2) & ~first & ~moved_at[active], np.abs(level) * np.sqrt(level_gain) / sigma, 0.0)
         top_a, top_s = np.maximum.reduceat(additive, start), np.maximum.reduceat(shift, start)
         by_shift = (top_s > critical) & (top_s > top_a)
         by_outlier = (top_a > critical) & ~by_shift
@@ -160,6 +193,7 @@ def _robust_ar_outliers(x: np.ndarray, seg: np.ndarray, count: np.ndarray, sprea
         if by_shift.any():
             at = np.flatnonzero(by_shift[k] & (shift == top_s[k]))
             at = at[np.concatenate([[True], k[at][1:] != k[at][:-1]])]
+            moved_at[active[at]] = True
             jump = np.zeros(len(z))
             jump[at] = level[at]
             run = np.cumsum(jump)
@@ -171,7 +205,6 @@ def _robust_ar_outliers(x: np.ndarray, seg: np.ndarray, count: np.ndarray, sprea
             shifted[active[moved & by_shift[k]]] = True
             y[active] -= run
         active = active[(by_shift | by_outlier)[k]]
-    outlier[active] = True
     return outlier, shifted
 
 
@@ -190,13 +223,14 @@ def _judge(pdf: pd.DataFrame, rules: SpikeRules) -> pd.DataFrame:
     v, s, segments = value[finite], seg[finite], seg[-1] + 1
     count = np.bincount(s, minlength=segments)
     low, center, high = _segment_quantiles(v, s, count, (0.16, 0.5, 0.84))
-    given = pdf.loc[new, ["center", "spread", "n_finite"]].to_numpy(float)
-    center = np.where(np.isnan(given[:, 0]), center, given[:, 0])
-    spread = np.where(np.isnan(given[:, 1]), (high - low) / 2, given[:, 1])
-    total = np.where(np.isnan(given[:, 2]), count, given[:, 2])
+    given = pdf.loc[new, [*_NORMAL, "n_finite"]].to_numpy(float)
+    own = np.isnan(given[:, 4])
+    center, spread, total = np.where(own, center, given[:, 0]), np.where(own, (high - low) / 2, given[:, 1]), np.where(own, count, given[:, 4])
+    phi, scale = _autoregression(v - center[s], s, count, spread)
+    phi, scale = np.where(own, phi, given[:, 2]), np.where(own, scale, given[:, 3])
     enough = (total >= rules.least_readings)[s]
     v, s = v[enough], s[enough]
-    outlier, shifted = _robust_ar_outliers(v - center[s], s, count, spread, rules.critical)
+    outlier, shifted = _robust_ar_outliers(v - center[s], s, spread, phi, scale, rules.critical)
     # the exact definition of a case, on what the tests have marked
     spike = (outlier | shifted) & (np.abs(v - center[s]) > rules.spreads * spread[s])
     at = np.flatnonzero(finite)[enough]
@@ -240,12 +274,12 @@ def flag_readings(rvtab: DataFrame, pairs: DataFrame, rules: SpikeRules = SpikeR
     less). Null and NaN are no readings. Readings without a source can only be impossible. Equal
     times are ordered by rec_id. No rows give no rows; other columns don't matter.
 
-    Sources are hashed over tasks; one with more than PIECE readings is cut into pieces, so none
-    of them fills a task.
+    Sources are hashed over tasks; one with more than PIECE readings is tested in pieces, so none
+    of them fills a task. What is normal for it is found from all its readings, as for any other.
     """
     rows = stored(readings(rvtab, pairs, rules))
     known = _in_pieces(rows.where("source is not null"))
-    columns = ["field", "source", "piece", "rec_id", "value", "is_impossible", "own", "center", "spread", "n_finite"]
+    columns = ["field", "source", "piece", "rec_id", "value", "is_impossible", "own", *_NORMAL, "n_finite"]
     ordered = known.repartition("field", "source", "piece").sortWithinPartitions("field", "source", "piece", "at", "rec_id").select(*columns)
     flagged = ordered.mapInPandas(_judge_partition(rules), _FLAGGED)
     no: Column = F.lit(False)

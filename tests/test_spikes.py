@@ -80,6 +80,40 @@ def test_pieces_of_long_sources_give_the_same(spark, monkeypatch):
     assert rows_of(spikes.cases(*made(spark, rv, pairs))) == whole
 
 
+def test_a_source_of_fifty_thousand_readings(spark):
+    rng = np.random.default_rng(8)
+    values = rng.normal(0, 1, 50_000) + np.where(np.arange(50_000) > 30_000, 3.0, 0.0)
+    values[::701] += 80
+    rv = [(i, 1, float(i), float(v), 1.0 + i / 1e6) for i, v in enumerate(values)]
+    frames = made(spark, rv)
+    assert {tuple(r) for r in spikes.cases(*frames).collect()} == brute(rv, [])
+
+
+def test_one_fit_for_each_source(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    value = [0.0]
+    for _ in range(999):
+        value.append(0.6 * value[-1] + float(rng.normal()))
+    value[100], value[400] = 50.0, float("inf")
+    rv = [(i, 1, float(i), v, None) for i, v in enumerate(value)]
+    monkeypatch.setattr(spikes, "PIECE", 150)
+    rows = spikes.readings(*made(spark, rv)).where("source is not null")
+    found = spikes._in_pieces(rows).where("field = 0").select("center", "spread", "phi", "scale", "n_finite").distinct().collect()
+    x = np.array([v for v in value if np.isfinite(v)])
+    seg, count = np.zeros(len(x), int), np.array([len(x)])
+    low, center, high = np.quantile(x, [0.16, 0.5, 0.84])
+    phi, scale = spikes._autoregression(x - center, seg, count, np.array([(high - low) / 2]))
+    assert len(found) == 1 and np.allclose(found[0], (center, (high - low) / 2, phi[0], scale[0], len(x)), rtol=1e-6) and 0.5 < phi[0] < 0.7
+
+
+def test_tests_go_on_until_nothing_stands_out():
+    # 90 steps, each further than the last: many more passes than there were once
+    x = np.concatenate([np.full(6, 3.0**k) for k in range(90)])
+    seg, one = np.zeros(len(x), int), np.array([1.0])
+    outlier, shifted = spikes._robust_ar_outliers(x, seg, one, np.array([0.0]), one, 3.5)
+    assert (outlier | shifted)[12:].all()
+
+
 def test_level_shift_is_no_spike(spark):
     rng = np.random.default_rng(0)
     rv = [(i, 1, float(i), float(rng.normal() + (30 if i >= 50 else 0)), 1.0 + i / 1000) for i in range(100)]
