@@ -10,11 +10,12 @@ sparse rows (entity, label, n), so that all of them count, however many there ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remeasure.functions.columns import clean_pair_label
@@ -43,18 +44,6 @@ def entity_keys(records: DataFrame, spaces: dict[str, tuple[str, ...]] = PAIR_KE
     return keys, connected_components(edges.where("b is not null").distinct())
 
 
-def fold_conflicts(pairs: DataFrame) -> DataFrame:
-    """group_id of every entity whose rows carry more than one non-null fold; rows without a group_id are left out."""
-    rows = pairs.where("group_id is not null")
-    folds = stored(rows.groupBy("group_id", "targetid_1", "targetid_2").agg(F.min("fold").alias("low"), F.max("fold").alias("high")))
-    _, entities = entity_keys(folds)
-    groups = folds.groupBy("group_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    groups = groups.withColumn("node", F.concat(F.lit("g:"), F.col("group_id").cast("string"))).join(entities, "node")
-    groups = stored(groups.select("group_id", F.col("component").alias("entity"), "low", "high"))
-    mixed = groups.groupBy("entity").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    return groups.join(mixed.select("entity"), "entity", "left_semi").select("group_id")
-
-
 class _Block:
     """The entities of one block as sparse rows: an entity has its size (feature 0) and the labels it has, no others."""
 
@@ -146,8 +135,9 @@ def assign_splits(
     shares: dict[str, float],
     spaces: dict[str, tuple[str, ...]] = PAIR_KEYS,
     record_id: str = "pair_id",
-    label=None,
+    label: str | None = None,
     *,
+    named: Callable[[Column], Column] = lambda c: c,
     rounds: int = 3,
     block: int = 2000,
     chains: int = 2,
@@ -156,8 +146,9 @@ def assign_splits(
 ) -> DataFrame:
     """``records`` with the columns entity and split; every entity lies in one split.
 
-    shares gives each split's target share of the records (they are scaled to sum to 1). label
-    is an optional column whose values should have the same shares in every split. Records
+    shares gives each split's target share of the records (they are scaled to sum to 1; one of 0
+    gets nothing). label is an optional column whose values, as ``named`` names them, should have the
+    same shares in every split. Records
     without any key are tied to nothing but records with the same record_id; where that is null
     too, they count as one entity. Repeated rows count as often as they occur. No rows give no
     rows. An existing column named entity or split is replaced.
@@ -167,16 +158,17 @@ def assign_splits(
     one row for each label of each of its entities. Between rounds labels are totalled in Spark;
     only the totals of the splits and the energy come to the driver.
     """
-    names = sorted(shares)
+    names = sorted(s for s, share in shares.items() if share > 0)
     parts = np.array([shares[s] for s in names], dtype=float)
     parts = parts / parts.sum()
     columns = [c for group in spaces.values() for c in group]
     records = records.drop("entity", "split")
-    label = F.coalesce(label, F.lit("?")) if label is not None else F.lit("?")
+    raw = F.col(label).cast("string") if label is not None else F.lit("?")
     _, keys = entity_keys(records, spaces)
     node = F.coalesce(*_nodes(spaces), F.concat(F.lit("r:"), F.coalesce(F.col(record_id).cast("string"), F.lit(""))))
     marked = records.withColumn("_node", node)
-    counts = stored(marked.groupBy(F.col("_node").alias("node"), label.alias("label")).agg(F.count("*").alias("n")))
+    counts = marked.groupBy(F.col("_node").alias("node"), raw.alias("label")).agg(F.count("*").alias("n"))
+    counts = stored(counts.withColumn("label", F.coalesce(named(F.col("label")), F.lit("?"))))
     sized = counts.join(keys, "node", "left").withColumn("entity", F.coalesce("component", "node")).groupBy("entity", "label").agg(F.sum("n").cast("double").alias("n"))
     draw = F.pmod(F.xxhash64("entity", F.lit("split")), F.lit(1_000_000)) / 1_000_000.0
     edges = np.cumsum(parts)[:-1]
@@ -208,15 +200,53 @@ def assign_splits(
         if energy >= lowest:
             break
         best, over, label_over, lowest = state, now, label_now, energy
-    named = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("at") + 1)
-    places = best.select("entity", named.alias("split")).distinct()
+    name = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("at") + 1)
+    places = best.select("entity", name.alias("split")).distinct()
     nodes = counts.select("node").distinct().join(keys, "node", "left").select("node", F.coalesce("component", "node").alias("entity"))
     placed = nodes.join(places, "entity").withColumnRenamed("node", "_node")
     return marked.join(placed, "_node").select(*records.columns, "entity", "split")
 
 
+def target_shares(summary: DataFrame) -> dict[str, float]:
+    """The total target_share of every split of ``summary``; all records train where none is above 0.
+
+    There is a value for each split, however many rows the table has; null shares count as 0.
+    """
+    rows = summary.where("split_name is not null").groupBy("split_name").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share")).collect()
+    shares = {r["split_name"]: r["share"] for r in rows}
+    return shares if any(share > 0 for share in shares.values()) else {"train": 1.0}
+
+
 def pair_splits(pairs: DataFrame, summary: DataFrame) -> DataFrame:
     """Every row of pairs with its entity and split, by the total target_share of each split in summary."""
-    rows = summary.where("split_name is not null").groupBy("split_name").agg(F.sum("target_share").alias("share")).limit(100).collect()
-    shares = {r["split_name"]: r["share"] for r in rows if r["share"]} or {"train": 1.0}
-    return assign_splits(pairs, shares, label=clean_pair_label(F.col("program_pair")))
+    return assign_splits(pairs, target_shares(summary), label="program_pair", named=clean_pair_label)
+
+
+def fold_conflicts(pairs: DataFrame, summary: DataFrame) -> DataFrame:
+    """group_id of every entity that an earlier run has torn apart, one row each.
+
+    The rows with a group_id get their entity, and the one split that it should be in, from
+    ``pair_splits``; an entity is torn if its rows carry more than one non-null fold. Nulls in
+    other columns tie nothing; no rows give no rows.
+    """
+    assigned = pair_splits(pairs.where("group_id is not null"), summary)
+    groups = stored(assigned.groupBy("entity", "group_id").agg(F.min("fold").alias("low"), F.max("fold").alias("high")))
+    torn = groups.groupBy("entity").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    return groups.join(torn.select("entity"), "entity", "left_semi").select("group_id").distinct()
+
+
+def split_balance(pairs: DataFrame, summary: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """(split, target_share, n_rows, within_tolerance, n_entities_apart): how well ``pair_splits`` meets its targets.
+
+    n_rows counts all rows, n_entities_apart the entities with rows in more than one split.
+    """
+    shares = target_shares(summary)
+    whole = sum(shares.values())
+    targets = pairs.sparkSession.createDataFrame([(s, x / whole) for s, x in shares.items()], "split string, target double")
+    cells = stored(pair_splits(pairs, summary).groupBy("entity", "split").agg(F.count("*").alias("n")))
+    apart = cells.groupBy("entity").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_entities_apart"))
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    held = targets.join(cells.groupBy("split").agg(F.sum("n").alias("n")), "split", "left")
+    shared = apart.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k")
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.greatest("n_rows", F.lit(1)) - F.col("target")) <= tolerance
+    return held.withColumn("k", F.lit(1)).join(shared, "k").select("split", F.round("target", 4).alias("target_share"), "n_rows", near.alias("within_tolerance"), "n_entities_apart")
