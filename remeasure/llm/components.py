@@ -69,7 +69,8 @@ def label_links(pairs: DataFrame) -> DataFrame:
 
     A row links its labels if group_id is not null, delta_vrad is finite, pair_error is above 0
     (NaN is not) and both programs and nights are neither null nor blank. A night that holds no
-    yyyymmdd in any known spelling counts as blank.
+    yyyymmdd in any known spelling counts as blank. Spellings are made distinct before they are
+    cleaned: there are far fewer of them than rows.
     """
 
     def label(side: str):
@@ -78,7 +79,13 @@ def label_links(pairs: DataFrame) -> DataFrame:
 
     error = F.col("pair_error")
     usable = F.col("group_id").isNotNull() & is_finite(F.col("delta_vrad")) & (error > 0) & ~F.isnan(error)
-    return pairs.where(usable).select(label("1").alias("a"), label("2").alias("b")).where("a is not null and b is not null").distinct()
+    links = stored(pairs.where(usable).select("program_1", "night_1", "program_2", "night_2").distinct())
+    ends = [links.select(F.col(f"program_{k}").alias("program_1"), F.col(f"night_{k}").alias("night_1")) for k in (1, 2)]
+    spelled = stored(ends[0].unionByName(ends[1]).distinct().withColumn("label", label("1")).where("label is not null"))
+    for k, end in ((1, "a"), (2, "b")):
+        named = spelled.select(F.col("program_1").alias(f"program_{k}"), F.col("night_1").alias(f"night_{k}"), F.col("label").alias(end))
+        links = links.join(named, [f"program_{k}", f"night_{k}"])
+    return links.select("a", "b").distinct()
 
 
 def label_groups(pairs: DataFrame) -> DataFrame:
