@@ -2,8 +2,8 @@
 
 Method: radix selection. A float is mapped to a 64-bit integer of the same order. Histograms
 of its leading digits tell which digit holds a wanted rank; only values with that digit are
-looked at in the next round, for the next digit. After four digits of 16 bits the value is
-known, so the error is zero. Histograms are counts: those of separate days, runs or partitions
+looked at in the next round, for the next digit. After four digits of 16 bits, or as soon as one
+value alone is left, the value is known, so the error is zero. Histograms are counts: those of separate days, runs or partitions
 are added up, which is how percentiles over several days are made here.
 """
 
@@ -67,27 +67,34 @@ def radix_percentiles(counts: DataFrame, by: list[str], percentiles: tuple[float
     wanted = stored(wanted.withColumn("low", F.floor(at)).withColumn("part", at - F.floor(at)))
     ranks = F.explode(F.array_distinct(F.array("low", F.least(F.col("low") + 1, F.col("n_values") - 1))))
     targets = wanted.select(*by, ranks.alias("rank")).distinct()
-    targets = stored(targets.withColumn("rest", F.col("rank")).withColumn("prefix", F.lit(0).cast("bigint")))
-    names = [*by, "prefix"]
+    targets = targets.withColumn("rest", F.col("rank")).withColumn("prefix", F.lit(0).cast("bigint"))
+    names, live, done = [*by, "prefix"], counts, []
     for digit in range(DIGITS):
-        live = counts.withColumn("prefix", _prefix(digit))
+        live = live.withColumn("prefix", _prefix(digit))
         if digit:
-            held = targets.select(*names).distinct()
-            live = live.alias("l").join(held.alias("h"), _same("l", "h", names), "left_semi")
+            # both sides grow with the groups: a merge join, which shuffles them by group and prefix
+            held = targets.select(*names).distinct().hint("merge")
+            live = stored(live.alias("l").join(held.alias("h"), _same("l", "h", names), "left_semi"))
         shift = 64 - DIGIT_BITS * (digit + 1)
         here = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).alias("digit")
-        histogram = live.groupBy(*names, here).agg(F.sum("n").alias("n"))
+        histogram = live.groupBy(*names, here).agg(F.sum("n").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
         upper = F.sum("n").over(Window.partitionBy(*names).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
         histogram = histogram.withColumn("upper", upper).withColumn("lower", F.col("upper") - F.col("n"))
         inside = _same("t", "h", names) & (F.col("t.rest") >= F.col("h.lower")) & (F.col("t.rest") < F.col("h.upper"))
-        found = targets.alias("t").join(histogram.alias("h"), inside)
+        found = targets.alias("t").join(histogram.hint("merge").alias("h"), inside)
         longer = F.shiftleft("t.prefix", DIGIT_BITS).bitwiseOR(F.col("h.digit"))
-        targets = stored(found.select(*[f"t.{c}" for c in by], "t.rank", (F.col("t.rest") - F.col("h.lower")).alias("rest"), longer.alias("prefix")))
-    values = targets.withColumn("at_rank", from_ordered_bits("prefix"))
-    low = wanted.alias("w").join(values.alias("v"), _same("w", "v", by) & (F.col("w.low") == F.col("v.rank")))
+        # a digit that one value alone has gives it away; the next rounds look at the others
+        known = F.when(F.col("h.least") == F.col("h.most"), F.col("h.least")).alias("known")
+        found = stored(found.select(*[f"t.{c}" for c in by], "t.rank", (F.col("t.rest") - F.col("h.lower")).alias("rest"), longer.alias("prefix"), known))
+        done.append(found.where("known is not null").select(*by, "rank", "known"))
+        targets = found.where("known is null").drop("known")
+        if targets.isEmpty():
+            break
+    values = reduce(DataFrame.unionByName, done).withColumn("at_rank", from_ordered_bits("known"))
+    low = wanted.alias("w").join(values.hint("merge").alias("v"), _same("w", "v", by) & (F.col("w.low") == F.col("v.rank")))
     low = low.select("w.*", F.col("v.at_rank").alias("low_value"))
     high = F.least(F.col("w.low") + 1, F.col("w.n_values") - 1)
-    both = low.alias("w").join(values.alias("v"), _same("w", "v", by) & (high == F.col("v.rank")))
+    both = low.alias("w").join(values.hint("merge").alias("v"), _same("w", "v", by) & (high == F.col("v.rank")))
     value = F.col("w.low_value") + F.col("w.part") * (F.col("v.at_rank") - F.col("w.low_value"))
     return both.select(*[f"w.{c}" for c in by], "w.percentile", value.alias("value"), "w.n_values")
 
@@ -108,13 +115,21 @@ def percentile_report(readings: dict[str, DataFrame], percentiles: tuple[float,
     return found.withColumn("max_error", F.lit(0.0))
 
 
+def _named(rows: DataFrame, night: Column) -> DataFrame:
+    """``rows`` with clean names for their spellings of program_pair and night, each spelling cleaned once."""
+    spelled = stored(rows.select("program_pair", "night").distinct().withColumns({"clean_pair": clean_pair_label(F.col("program_pair")), "clean_night": night}))
+    joined = rows.alias("r").join(spelled.alias("s"), _same("r", "s", ["program_pair", "night"]))
+    others = [F.col(f"r.{c}") for c in rows.columns if c not in ("program_pair", "night")]
+    return joined.select(*others, F.col("s.clean_pair").alias("program_pair"), F.col("s.clean_night").alias("night"))
+
+
 def pair_readings(pairs: DataFrame) -> DataFrame:
     """delta_vrad by program pair and first night; a pair delivered again counts once."""
-    columns = ["pair_id", clean_pair_label(F.col("program_pair")).alias("program_pair"), clean_night(F.col("night_1")).alias("night"), F.col("delta_vrad").alias("value")]
-    return pairs.select(*columns).distinct()
+    rows = pairs.select("pair_id", "program_pair", F.col("night_1").cast("string").alias("night"), F.col("delta_vrad").alias("value"))
+    return _named(rows, clean_night(F.col("night"))).distinct()
 
 
 def run_readings(by_program: DataFrame) -> DataFrame:
     """raw_width_before_kms by program pair and night of the run; the same row counts once."""
-    columns = ["run_id", "fold", clean_pair_label(F.col("program_pair")).alias("program_pair"), F.col("run_night").cast("string").alias("night"), F.col("raw_width_before_kms").alias("value")]
-    return by_program.select(*columns).distinct()
+    rows = by_program.select("run_id", "fold", "program_pair", F.col("run_night").cast("string").alias("night"), F.col("raw_width_before_kms").alias("value"))
+    return _named(rows, F.col("night")).distinct()
