@@ -131,7 +131,7 @@ def _encoded_batches(ranks, count_only: bool):
                 coded = [encoder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
                 sizes = np.array([len(c) // 4 for c in coded], np.int64)
                 if count_only:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=["doc_id", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes)], names=["doc_id", "text_hash", "n_tokens"])
                     continue
                 flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -153,7 +153,7 @@ def token_ids(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
 
 
 def token_counts(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
-    """(doc_id, n_tokens) of every row of ``documents``; 0 for null and empty texts."""
+    """(doc_id, text_hash, n_tokens) of every row of ``documents``; 0 tokens for null and empty texts."""
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInArrow(_encoded_batches(ranks, True), "doc_id bigint, n_tokens bigint")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(_encoded_batches(ranks, True), "doc_id bigint, text_hash bigint, n_tokens bigint")
