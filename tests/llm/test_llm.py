@@ -7,6 +7,7 @@ from random import Random
 import numpy as np
 import pytest
 import tiktoken
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from remeasure.llm import components, distinct, packing, percentiles, sentences, splits, tokens
@@ -87,9 +88,26 @@ def test_fold_conflicts(spark):
         if r[1] is not None and r[4] is not None:
             folds.setdefault(entity[0, r[1]], set()).add(r[4])
     expected = {r[1] for r in rows if r[1] is not None and len(folds.get(entity[0, r[1]], ())) > 1}
-    found = [r.group_id for r in splits.fold_conflicts(with_clashes(spark.createDataFrame(rows, PAIRS))).collect()]
+    shares = summary_of(spark, [("train", 0.8), ("validation", 0.1), ("test", 0.1)])
+    found = [r.group_id for r in splits.fold_conflicts(with_clashes(spark.createDataFrame(rows, PAIRS)), shares).collect()]
     assert sorted(found) == sorted(expected)
-    assert splits.fold_conflicts(spark.createDataFrame([], PAIRS)).count() == 0
+    assert splits.fold_conflicts(spark.createDataFrame([], PAIRS), shares).count() == 0
+
+
+def summary_of(spark, shares):
+    return spark.createDataFrame(shares, "split_name string, target_share double")
+
+
+def test_balance_of_many_splits(spark):
+    """No split is left out, however many there are; one of share 0 gets nothing."""
+    rows = [(k, 10_000 + k, 50_000 + k, 90_000 + k, 0, "A / A", "x", "y", "1", "2", 1.0, 1.0) for k in range(4000)]
+    shares = [(f"s{k:03d}", 1.0) for k in range(120)] + [("none", 0.0), ("null", None), (None, 5.0)]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    out = {r.split: r for r in splits.split_balance(pairs, summary_of(spark, shares)).collect()}
+    assert len(out) == 122 and all(r.within_tolerance and r.n_entities_apart == 0 and r.n_rows == 4000 for r in out.values())
+    held = Counter(r.split for r in splits.pair_splits(pairs, summary_of(spark, shares)).collect())
+    assert len(held) == 120 and sum(held.values()) == 4000
+    assert {r.split for r in splits.pair_splits(pairs, summary_of(spark, [("a", None)])).collect()} == {"train"}
 
 
 def test_splits_keep_entities_and_meet_shares(spark):
@@ -97,7 +115,7 @@ def test_splits_keep_entities_and_meet_shares(spark):
     rows = [(i, g := r.randrange(600), 5000 + g, 5000 + g, 0, r.choice(["A / A", "A / B"]), "x", "y", "1", "2", 1.0, 1.0) for i in range(4000)]
     rows += [(9000, None, None, None, 0, None, None, None, None, None, None, None), (9001, None, 5003, 7777, 0, None, None, None, None, None, None, None), (9002, 77777, 7777, None, 0, None, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, PAIRS)
-    out = splits.assign_splits(with_clashes(df), {"train": 0.8, "validation": 0.1, "test": 0.1}, label=F.col("program_pair"), block=200, steps=1500).collect()
+    out = splits.assign_splits(with_clashes(df), {"train": 0.8, "validation": 0.1, "test": 0.1}, label="program_pair", block=200, steps=1500).collect()
     assert Counter(r.pair_id for r in out) == Counter(r[0] for r in rows)
     for key in ("group_id", "targetid_1", "entity"):
         seen = {}
@@ -119,7 +137,7 @@ def test_splits_balance_labels_beyond_the_commonest(spark):
     df = spark.createDataFrame(rows, "pair_id long, group_id long, label string")
     target = {"train": 0.8, "validation": 0.1, "test": 0.1}
     spaces = {"g": ("group_id",)}
-    out = splits.assign_splits(df, target, spaces, label=F.col("label"), block=1000, label_weight=1.0).collect()
+    out = splits.assign_splits(df, target, spaces, label="label", block=1000, label_weight=1.0).collect()
     assert len(out) == len(rows)
     rare = Counter((x.label, x.split) for x in out if x.label.startswith("r"))
     # 40 records of each rare label: 32, 4 and 4
@@ -155,6 +173,38 @@ def test_bitmaps_merge(spark):
     assert sorted(r.code for r in codes.collect()) == list(range(300))
 
 
+def test_dictionaries_grow(spark):
+    """Loads of two days, each with a dictionary that grew from the one before, are merged by OR like one load."""
+    day = lambda d, ids: spark.createDataFrame([(i, f"2021050{d}", g) for i in ids for g in "AB"], "id long, day string, group string")
+    first, second = day(2, range(100, 300)), day(1, range(0, 200))
+    early = distinct.dictionary(first)
+    late = distinct.dictionary(second, early)
+    before, after = {r.id: r.code for r in early.collect()}, {r.id: r.code for r in late.collect()}
+    assert sorted(after.values()) == list(range(300)) and all(after[i] == c for i, c in before.items())
+    both = distinct.merged(distinct.bitmaps(first, early).unionByName(distinct.bitmaps(second, late)), "group")
+    whole = distinct.bitmaps(first.unionByName(second), distinct.dictionary(first.unionByName(second)))
+    assert rows_of(distinct.counted(both, "group")) == rows_of(distinct.counted(distinct.merged(whole, "group"), "group")) == [("A", 300), ("B", 300)]
+    assert rows_of(distinct.dictionary(second, early.limit(0)).select("code")) == [(k,) for k in range(200)] or distinct.dictionary(second, early.limit(0)).count() == 200
+    assert distinct.dictionary(first.limit(0), early).count() == 200
+
+
+def test_parts_dont_change_codes_being_dense(spark, monkeypatch):
+    monkeypatch.setattr(distinct, "PART", 7)
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else f"d{k % 3}", "A") for k in range(200)], "id long, day string, group string")
+    assert sorted(r.code for r in distinct.dictionary(df).collect()) == list(range(200))
+
+
+def test_overlap_of_several_groups(spark):
+    r = Random(12)
+    rows = [(r.randrange(400), "20210501", r.choice("ABCD")) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "id long, day string, group string")
+    sets = {g: {i for i, _, x in rows if x == g} for g in "ABCD"}
+    found = {x.combination: x.n_distinct for x in distinct.combination_report(df, "f", ["A", "C", "D"]).collect()}
+    assert found == {"any": len(sets["A"] | sets["C"] | sets["D"]), "every": len(sets["A"] & sets["C"] & sets["D"])}
+    none = {x.combination: x.n_distinct for x in distinct.combination_report(df, "f", ["A", "Z"]).collect()}
+    assert none["every"] == 0 and none["any"] == len(sets["A"])
+
+
 def test_percentiles(spark):
     r = np.random.default_rng(6)
     values = [float(x) for x in r.normal(0, 3, 400)] + [0.0, -0.0, 1e300, -1e300, 5e-324, float("nan"), float("inf"), None] + [2.5] * 50
@@ -250,6 +300,17 @@ def test_pack_documents(spark):
         packing.pack_documents(df, capacity=0)
 
 
+def test_containers_dont_depend_on_files(spark, monkeypatch):
+    texts = [(k % 150, "word " * (k % 150 % 90)) for k in range(300)] + [(None, "word " * 700)] * 5
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    once = rows_of(packing.pack_documents(df, capacity=300, lot=60))
+    monkeypatch.setattr(packing, "COPIES", 2)
+    assert rows_of(packing.pack_documents(df.orderBy(F.desc("text")).repartition(7), capacity=300, lot=60)) == once
+    report = packing.packing_report(df, capacity=300, lot=60).first()
+    assert (report.n_documents, report.n_over_capacity, report.n_divided_that_fit, report.is_tight) == (305, 0, 0, True)
+    assert len({r[0] for r in once}) < 1.1 * sum(r[4] for r in once) / 300 + 6
+
+
 # ---------------------------------------------------------------- sentences
 
 OPENINGS = ["The committee met", "Our group agreed", "Every member left", "No one spoke", "However, the chair rose"]
