@@ -3,20 +3,21 @@
 Method: a hidden-event n-gram language model. Between two words there may be a boundary, an
 event that isn't seen. Where a final mark, a closed quotation, a bracketed interruption or, in
 Thai, white space leaves open whether a sentence ends, the model weighs how often the words
-before end a sentence against how often they are followed by the next word within one. Its counts
-come from all texts: paragraphs show which words end and begin sentences for certain, and
-expectation maximisation carries that over to the open places. Forward-backward posteriors over
-each paragraph then decide. Blank lines, quotations and brackets bound what may be decided.
+before end a sentence against how often they are followed by the next word within one; in Thai the
+syllables on both sides take the place of words. Its counts come from all texts: paragraphs show
+which words end and begin sentences for certain, and expectation maximisation carries that over to
+the open places. Forward-backward posteriors over each paragraph then decide. Blank lines,
+quotations and brackets bound what may be decided.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 from remeasure.session import stored
 
 # Final marks, and pairs of quotation marks and brackets.
-MARKS = ".!?…。．！？｡।॥።፧؟۔‼⁇⁈⁉"
+MARKS = ".!?…。．！？｡।॥።፧؟۔‼⁇⁈⁉។៕၊။༎"
 GREEK_QUESTION = ";;"
 QUOTES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", '"': '"', "「": "」", "『": "』", "›": "‹", "‹": "›", "《": "》"}
 BRACKETS = {"(": ")", "[": "]", "（": "）", "［": "］", "〔": "〕", "【": "】", "{": "}", "｛": "｝"}
 INTRODUCERS = ":：፦"
 
-#: A word or pair of words of the model has at least this share of all occurrences, so there are at most 1 / share.
+#: A word of the model has at least this share of all occurrences, and a word with the next one a fifth of it:
+#: at most 20,000 names of each kind and 100,000 pairs.
 LEAST_SHARE = 1 / 20_000
 LEAST_COUNT = 20.0
 EM_ROUNDS = 6
@@ -39,6 +41,8 @@ EM_ROUNDS = 6
 SURE, SURE_CHANCE = ("!", "。"), 0.98
 #: Classes of list numbers and initials, which don't end the sentence they begin.
 NUMBERS = (".#", ".X")
+#: The class of syllables before white space. Sentences of these scripts end there as a rule.
+THAI = "thai_"
 DASHES = ("–", "—", "-", "‐", "/")
 
 _OPEN = {**QUOTES, **BRACKETS}
@@ -46,15 +50,23 @@ _CLOSE = frozenset("".join(_OPEN.values()))
 _EITHER = _CLOSE | set(_OPEN)
 _MARK_SET = frozenset(MARKS)
 _BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])[^\S\n\r\x0b\x0c\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*| \s*")
-_THAI = "\u0e00-\u0e7f"
+#: Thai and Lao: no spaces between words.
+_THAI = "\u0e00-\u0eff"
 _OTHER = re.escape("".join(sorted(set(_OPEN) | _CLOSE)) + GREEK_QUESTION)
 _MARK = re.escape(MARKS)
 #: A run of marks, or one quotation mark or bracket; with Thai also white space beside it.
 _POINTS = re.compile(rf"[{_MARK}{_OTHER}](?:(?<=[{_MARK}])[{_MARK}]+)?")
 _THAI_POINTS = re.compile(rf"[{_MARK}]+|[{_OTHER}]|(?<=[{_THAI})\]）])\s+(?=\S)|\s+(?=[{_THAI}])")
 _HAS_THAI = re.compile(f"[{_THAI}]")
-#: Letters and the marks that belong to them.
-_WORD = re.compile(r"[^\s\d!-/:-@\[-`{-\xbf\u2010-\u205e\u3001-\u301f\uff01-\uff1f\u0964\u0965\u1361-\u1368\u061f\u06d4\u060c\u061b]+")
+#: What isn't a letter or a mark that belongs to one.
+_NO_WORD = r"\s\d!-/:-@\[-`{-\xbf\u2010-\u205e\u3001-\u301f\uff01-\uff1f\u0964\u0965\u1361-\u1368\u061f\u06d4\u060c\u061b"
+_WORD = re.compile(f"[^{_NO_WORD}]+")
+#: A written syllable of Thai or Lao: a consonant, a vowel before it, and the marks that follow.
+_SYLLABLE = "[\u0e40-\u0e44\u0ec0-\u0ec4]?[\u0e01-\u0e2e\u0e81-\u0eae][\u0e30-\u0e3a\u0e45\u0e47-\u0e4e\u0eb0-\u0ebc\u0ec8-\u0ecd]*"
+_SYLLABLES = re.compile(_SYLLABLE)
+_LAST_SYLLABLE = re.compile(f"{_SYLLABLE}[^{_NO_WORD}]?$")
+_BLANKS_SET = " \t\xa0\u3000\u202f¿¡"
+_BLANKS = r" \t\xa0\u3000\u202f¿¡"
 #: What stands in brackets as the mark of a list item.
 _LIST_MARK = re.compile(r"\s*[0-9A-Za-z]{0,3}\s*")
 _NUMBER = re.compile(r"\d+[.)](?=\s)")
@@ -63,6 +75,12 @@ _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯ｦ-ﾟ]")
 
 
+#: What follows a place, up to the end of its first word: a word in brackets, the first letter in quotation marks, a
+#: syllable, a word, a number; one character of the scripts without spaces.
+_FOLLOWING = re.compile(
+    rf"[{re.escape(''.join(BRACKETS))}][{_BLANKS}]*[^{_NO_WORD}]*|[{re.escape(''.join(QUOTES))}¿¡][{_BLANKS}]*.?|{_SYLLABLE}|[^{_NO_WORD}\u2e80-\U0010ffff]+|\d+(?:[.)]\s?)?|.", re.S
+)
+
 #: A sign or digit that begins a word, with the next word; and an opening mark that stands by itself before one.
 _SIGN = re.compile(r"([^\s\w]|\d)[¿¡]*(\w*)")
 _LISTED = re.compile(r"\d+[.)]")
@@ -107,37 +125,60 @@ def _with_earlier(earlier: str, last: str) -> str:
     return _DIGITS.sub("#", earlier) + " " + last + "."
 
 
+def _words_before(text: str, start: int, at: int) -> list[str]:
+    """The words before ``at``, the last one or two of them whole, however long they are.
+
+    A word ends at white space; letters of scripts without spaces are no part of what follows them.
+    """
+    reach = 40
+    while True:
+        low = max(start, at - reach)
+        words = text[low:at].rsplit(None, 2)
+        if low == start or len(words) > 2 or (words and _CJK.search(words[0])):
+            return words
+        reach *= 4
+
+
 def _before(text: str, start: int, at: int, mark: str) -> tuple[str, str]:
     """(two words, one word) that stand before the mark at ``at``, as the model names them."""
     kind = mark[0]
     if kind in "!！?？؟‼⁇⁈⁉;;":
         return "!", "!"
-    if kind in "。．｡।॥።፧۔":
+    if kind in "。．｡।॥።፧۔។៕၊။༎":
         return "。", "。"
-    words = text[max(start, at - 40) : at].rsplit(None, 2)
+    words = _words_before(text, start, at)
     last = _named(words[-1]) if words and not text[at - 1].isspace() else ""
     if len(mark) > 1 or kind == "…":
         if at > start and _CJK.match(text, at - 1):
             return "。", "。"
         return (name := last + "…"), name
-    name = last + "."
-    if len(last) <= 5 or "#" in last:
-        return _with_earlier(words[-2] if len(words) > 1 else "^", last), name
-    return name, name
+    return _with_earlier(words[-2] if len(words) > 1 else "^", last), last + "."
+
+
+def _syllable_before(text: str, start: int, at: int) -> str:
+    """The last syllable before white space, as the model names it."""
+    found = _LAST_SYLLABLE.search(text, max(start, at - 8), at)
+    return (found.group() if found else text[at - 1]) + "_"
+
+
+def _following(text: str, at: int, end: int) -> tuple[str, str]:
+    return _after(_FOLLOWING.match(text, at, end).group())
 
 
 @lru_cache(100_000)
 def _after(following: str) -> tuple[str, str]:
-    """(word, class) of the text ``following`` a place, of which a few characters are enough."""
+    """(word, class) of what follows a place (see _FOLLOWING)."""
     ch = following[0]
     if ch.isalpha():
+        if _SYLLABLES.match(following):
+            return following, "th"
         word = _WORD.match(following)
         name = word.group() if word else ch
         return ("oo", "oo") if _CJK.match(name) else (name, _shape(name))
     if ch.isdigit():
         return ("#.", "#.") if _NUMBER.match(following) else ("#", "#")
     if ch in _OPEN or ch in "¿¡":
-        inner = following[1:].lstrip(" \t\xa0\u3000\u202f¿¡")
+        inner = following[1:].lstrip(_BLANKS_SET)
         word = _WORD.match(inner) if ch in BRACKETS else None
         return ch + (word.group() if word else _kind(inner[:1])), ch + _kind(inner[:1])
     return ch, ch
@@ -147,6 +188,7 @@ def _spans(text: str, start: int, end: int, thai: bool) -> tuple[list[re.Match],
     """The points of a paragraph and, by the place of their opening, where outer quotations and brackets close."""
     points = list((_THAI_POINTS if thai else _POINTS).finditer(text, start, end))
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # closing marks that something in the stack waits for
     pairs: dict[int, int] = {}
     for m in points:
         at = m.start()
@@ -157,12 +199,16 @@ def _spans(text: str, start: int, end: int, thai: bool) -> tuple[list[re.Match],
         right = text[at + 1] if at + 1 < end else " "
         if ch in "’'" and left.isalpha() and right.isalpha():
             continue
-        k = next((k for k in range(len(stack) - 1, -1, -1) if ch in _OPEN[stack[k][0]]), -1)
+        # the search only passes what is taken off the stack
+        k = next(k for k in range(len(stack) - 1, -1, -1) if ch in _OPEN[stack[k][0]]) if waiting[ch] else -1
         if k >= 0 and not (ch in _OPEN and ch != '"' and left.isspace() and right.isalnum() and ch not in "“»«‘"):
             pairs[stack[k][1]] = at
+            for opened, _ in stack[k:]:
+                waiting.subtract(_OPEN[opened])
             del stack[k:]
         elif ch in _OPEN and not (ch in "»›" and not right.isalnum()):
             stack.append((ch, at))
+            waiting.update(_OPEN[ch])
     outer: dict[int, int] = {}
     reach = -1
     for at in sorted(pairs):
@@ -171,13 +217,12 @@ def _spans(text: str, start: int, end: int, thai: bool) -> tuple[list[re.Match],
     return points, outer
 
 
-#: A place where a sentence may end: (end, start of what follows, two words before, one word
-#: before, word after, its class, how, linked). How: mark, quote, bracket or space. Linked: only
-#: one word, bracket or quotation lies between the place and the one before; None where a
-#: sentence begins for certain.
-Place = tuple[int, int, str, str, str, str, str, "bool | None"]
-#: So much of the text after a place is looked at.
-_AHEAD = 16
+#: A place where a sentence may end: (end, start of what follows, name). The name says, divided by
+#: tabs, how the sentence would end there and what the model knows: the two words before, the word
+#: before, the word after and its class. How is 'm' (mark), 'q' (quotation), 'b' (bracket) or 's'
+#: (white space), and 0; 1 if only one word, bracket or quotation lies between the place and the one
+#: before; 2 where a sentence begins for certain before that word.
+Place = tuple[int, int, str]
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -195,9 +240,15 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = following
 
 
-def _last_word(text: str, start: int, at: int, reach: int = 40) -> str:
-    words = text[max(start, at - reach) : at].rsplit(None, 1)
-    return words[-1] if words and at > start and not text[at - 1].isspace() else ""
+def _last_word(text: str, start: int, at: int) -> str:
+    words = _words_before(text, start, at) if at > start and not text[at - 1].isspace() else []
+    return words[-1] if words else ""
+
+
+def _is_greek(text: str, start: int, at: int) -> bool:
+    """Whether the word before ``at`` is written in Greek letters."""
+    words = _words_before(text, start, at)
+    return bool(words) and _GREEK.search(words[-1]) is not None
 
 
 _BLOCKED = frozenset(MARKS + ",;:，、；：") | (_CLOSE - set(_OPEN))
@@ -210,7 +261,7 @@ def _joined(text: str, start: int, at: int, stop: int) -> bool:
         return True
     if not (then.isupper() or then in BRACKETS or then in "“«„¿¡" or (then.isalpha() and not then.islower())):
         return False
-    word = _last_word(text, start, at, 60)
+    word = _last_word(text, start, at)
     if "@" in word or "://" in word or word.startswith("www."):
         return False
     if stop - at == 1 and last == ".":
@@ -234,7 +285,7 @@ def places(text: str, start: int, end: int, thai: bool = True) -> tuple[list[Pla
         if ch in _MARK_SET:
             if stop < end and ch in ".!?…" and ((then := text[stop]).isdigit() or then.islower()):
                 continue
-            by, linked = "mark", False
+            by, linked = "m", 0
         elif at in outer:
             close = outer[at]
             skip = stop = close + 1
@@ -245,52 +296,57 @@ def places(text: str, start: int, end: int, thai: bool = True) -> tuple[list[Pla
                 if at != fresh or _LIST_MARK.fullmatch(text, at + 1, close):
                     continue
                 w2 = w1 = "()"
-                by, linked = "bracket", True
+                by, linked = "b", 1
             else:
                 ends = text[inner]
-                if not (ends in _MARK_SET or (ends in GREEK_QUESTION and _GREEK.search(text, max(start, inner - 16), inner))):
+                if not (ends in _MARK_SET or (ends in GREEK_QUESTION and _is_greek(text, start, inner))):
                     continue
-                lead = text[max(start, at - 3) : at].rstrip()
-                intro = "^" if at == fresh else ":" if lead and lead[-1] in INTRODUCERS else "m"
+                lead = at - 1
+                while lead > start and text[lead].isspace():
+                    lead -= 1
+                intro = "^" if at == fresh else ":" if at > start and text[lead] in INTRODUCERS else "m"
                 w2, w1 = intro + text[close], intro + "”"
-                by, linked = "quote", False
+                by, linked = "q", 0
         elif ch in _EITHER:
             continue
         elif ch in GREEK_QUESTION:
-            if not _GREEK.search(text, max(start, at - 16), at):
+            if not _is_greek(text, start, at):
                 continue
-            by, linked = "mark", False
+            by, linked = "m", 0
         else:  # white space beside Thai
             if at < fresh or stop >= end or "\n" in m.group() or "\r" in m.group():
                 continue
             a, b = text[at - 1], text[stop]
             if a.isdigit() or b.isdigit() or (a.isalpha() and a < "ɐ") or (b.isalpha() and b < "ɐ") or b in _MARK_SET:
                 continue
-            if not ("\u0e00" <= a <= "\u0e7f" or a in _CLOSE) or (b in BRACKETS and stop not in outer):
+            if not ("\u0e00" <= a <= "\u0eff" or a in _CLOSE) or (b in BRACKETS and stop not in outer):
                 continue
-            if not ("\u0e00" <= b <= "\u0e7f" or b in BRACKETS or b in QUOTES or b.isalpha()):
+            if not ("\u0e00" <= b <= "\u0eff" or b in BRACKETS or b in QUOTES or b.isalpha()):
                 continue
-            w2 = w1 = "thai"
-            by, linked = "space", False
+            w2 = w1 = _syllable_before(text, start, at)
+            by, linked = "s", 0
         k = stop
         while k < end and text[k].isspace():
             k += 1
         if k >= end:
-            last = _before(text, start, at, m.group()) if by == "mark" else (w2, w1)
+            last = _before(text, start, at, m.group()) if by == "m" else (w2, w1)
             continue
         if text[k] in _BLOCKED:
             continue
-        if by == "mark":
+        if by == "m":
             if k == stop and not _joined(text, start, at, stop):
                 continue
             w2, w1 = _before(text, start, at, m.group())
             if len(w1) == 2 or "#" in w1:
                 # a number or an initial: does a sentence begin with it?
-                linked = at - fresh < 40 and text.find(" ", fresh, at) < 0 and text.find("\n", fresh, at) < 0
+                linked = int(text.find(" ", fresh, at) < 0 and text.find("\n", fresh, at) < 0)
                 if not linked and w2.split(" ")[0][-1:] in INTRODUCERS:
-                    linked = None  # after a speaker's label, where a sentence begins
-        found.append((at if by == "space" else stop, k, w2, w1, *_after(text[k : min(k + _AHEAD, end)]), by, linked))
+                    linked = 2  # after a speaker's label, where a sentence begins
+        c, cc = _following(text, k, end)
+        found.append((at if by == "s" else stop, k, f"{by}{linked}\t{w2}\t{w1}\t{c}\t{cc}"))
         fresh = k
+    if thai and last is None and "\u0e00" <= text[end - 1] <= "\u0eff":
+        last = (w1 := _syllable_before(text, start, end)), w1
     return found, last
 
 
@@ -308,18 +364,18 @@ class Counts:
 
     def __init__(self):
         self.places: Counter = Counter()
+        self.borders: Counter = Counter()
         self.tokens: Counter = Counter()
         self.apart: Counter = Counter()
 
     def add(self, text: str, scanned: list) -> None:
-        places = self.places
+        borders = self.borders
         for start, end, found, last in scanned:
-            for _, _, w2, w1, c, cc, by, linked in found:
-                if by == "mark" or by == "quote":
-                    places["linked" if linked is not False and _class_of(w1) in NUMBERS else "open", w2, w1, c, cc] += 1
+            if found:
+                self.places.update([name for _, _, name in found])
             if last is not None:
-                places["end", last[0], last[1], "", ""] += 1
-            places["begin", "", "", *_after(text[start : min(start + _AHEAD, end)])] += 1
+                borders["end", last[0], last[1], "", ""] += 1
+            borders["begin", "", "", *_following(text, start, end)] += 1
         self.tokens.update(text.split())
         self.apart.update(m[0][0] + _kind(m[1]) for m in _APART.finditer(text))
 
@@ -328,53 +384,76 @@ class Counts:
 
     def rows(self) -> Counter:
         """(kind, w2, w1, c, cc) with counts; kinds: open and linked place, end and begin of a paragraph, word."""
-        out = Counter(self.places)
+        out = Counter(self.borders)
+        for name, n in self.places.items():
+            how, w2, w1, c, cc = name.split("\t")
+            if how[0] != "b":
+                out["linked" if how[1] != "0" and _class_of(w1) in NUMBERS else "open", w2, w1, c, cc] += n
         for token, n in self.tokens.items():
             for word in _WORD.findall(token):
-                if word[0] < "\u2e80":
-                    out["word", "", "", word[:_AHEAD], _shape(word[:_AHEAD])] += n
+                if "\u0e00" <= word[0] <= "\u0eff":
+                    for syllable in _SYLLABLES.findall(word):
+                        out["word", "", "", syllable, "th"] += n
+                elif word[0] < "\u2e80":
+                    out["word", "", "", word, _shape(word)] += n
             sign = _SIGN.match(token)
             if sign is None or (len(token) == 1 and token in _OPEN):
                 continue
             ch, then = sign.groups()
             shape = "#." if _LISTED.fullmatch(token) else "#" if ch.isdigit() else ch + _kind(then[:1]) if ch in _OPEN or ch in "¿¡" else ch
-            out["word", "", "", ch + then[: _AHEAD - 1] if ch in BRACKETS and then else shape, shape] += n
+            out["word", "", "", ch + then if ch in BRACKETS and then else shape, shape] += n
         for name, n in self.apart.items():
             out["word", "", "", name, name] += n
         return out
 
 
-_SCANNED = "doc_id bigint, places binary, kind string, w2 string, w1 string, wc string, c string, cc string, n bigint"
+_SCANNED = "doc_id bigint, bounds array<int>, at array<int>, next array<int>, names array<string>, kind string, w2 string, w1 string, wc string, c string, cc string, n bigint"
+_NAMES = ["doc_id", "bounds", "at", "next", "names", "kind", "w2", "w1", "wc", "c", "cc", "n"]
+_KINDS = [pa.int64(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.string()), *[pa.string()] * 6, pa.int64()]
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row with the places of every text, and rows with the counts of the task."""
-    names = ["doc_id", "places", "kind", "w2", "w1", "wc", "c", "cc", "n"]
-    kinds = [pa.int64(), pa.binary(), *[pa.string()] * 6, pa.int64()]
+def _batch(columns: list) -> pa.RecordBatch:
+    length = len(next(c for c in columns if c is not None))
+    return pa.RecordBatch.from_arrays([pa.nulls(length, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
 
-    def batch_of(columns: list) -> pa.RecordBatch:
-        length = len(next(c for c in columns if c is not None))
-        return pa.RecordBatch.from_arrays([pa.nulls(length, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
+def _lists(lengths: list[int], values: list, kind: pa.DataType) -> pa.Array:
+    """``values`` cut into lists of these lengths."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the places of every text, and rows with the counts of the task.
+
+    bounds holds start, end and number of places of each paragraph; at, next and names the places.
+    """
     counts = Counts()
 
     def flushed() -> pa.RecordBatch:
         rows = counts.rows()
         kind, w2, w1, c, cc = zip(*rows)
-        return batch_of([None, None, kind, w2, w1, [_class_of(w) if w else "" for w in w1], c, cc, list(rows.values())])
+        return _batch([None] * 5 + [kind, w2, w1, [_class_of(w) if w else "" for w in w1], c, cc, list(rows.values())])
 
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            part = whole.slice(at, 256)
-            ids, blobs = [], []
+        for first in range(0, whole.num_rows, 256):
+            part = whole.slice(first, 256)
+            ids, n_bounds, bounds, n_places, found_at = [], [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 scanned = scan(text) if text else []
                 if scanned:
                     counts.add(text, scanned)
                     ids.append(doc_id)
-                    blobs.append(pickle.dumps([(start, end, found) for start, end, found, _ in scanned], 5))
-            if blobs:
-                yield batch_of([ids, blobs, *[None] * 7])
+                    n_bounds.append(3 * len(scanned))
+                    before = len(found_at)
+                    for start, end, found, _ in scanned:
+                        bounds += (start, end, len(found))
+                        found_at += found
+                    n_places.append(len(found_at) - before)
+            if ids:
+                at, following, names = zip(*found_at) if found_at else ((), (), ())
+                lists = [_lists(n_bounds, bounds, pa.int32()), *[_lists(n_places, v, pa.int32()) for v in (at, following)], _lists(n_places, names, pa.string())]
+                yield _batch([ids, *lists, *[None] * 7])
             if len(counts) > 300_000:
                 yield flushed()
                 counts = Counts()
@@ -385,8 +464,10 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 @lru_cache(100_000)
 def _class_of(w1: str) -> str:
     """The class that stands for a rare word before a mark."""
-    if w1 in ("!", "。", "()", "thai") or w1[:1] in "^:m" and w1[-1:] in "”":
+    if w1 in ("!", "。", "()") or w1[:1] in "^:m" and w1[-1:] in "”":
         return w1
+    if w1[-1] == "_":
+        return THAI
     return ("…" if w1.endswith("…") else ".") + _shape(w1[:-1])
 
 
@@ -395,6 +476,7 @@ class Model:
 
     def __init__(self, end: dict[str, float], next_b: dict[str, float], next_n: dict[str, float]):
         self.end, self.next_b, self.next_n = end, next_b, next_n
+        self.steps: dict[str, tuple] = {}
 
     def w(self, w2: str, w1: str) -> str:
         if w2 in self.end:
@@ -406,13 +488,39 @@ class Model:
 
     def weights(self, w: str, c: str) -> tuple[float, float]:
         """(boundary, none): chance of the event after w, times that of c after the event."""
-        return self.weighed(self.end.get(w, 0.02 if w == ".X" else 0.5), c)
+        return self.weighed(self.end.get(w, 0.02 if w == ".X" else SURE_CHANCE if w == THAI else 0.5), c)
 
     def weighed(self, theta: float, c: str) -> tuple[float, float]:
         if c in ("oo", "<oo"):  # scripts without spaces: only the words before tell
             return theta, 1 - theta
         return theta * self.next_b.get(c, 1e-6), (1 - theta) * self.next_n.get(c, 1e-6)
 
+    def step(self, name: str) -> tuple:
+        """(weights of boundary and none without a boundary at the place before, the same with one, how the place is linked)."""
+        known = self.steps.get(name)
+        if known is not None:
+            return known
+        how, w2, w1, c, cc = name.split("\t")
+        linked = int(how[1])
+        low = cc.startswith("xx") or c in DASHES
+        c = self.c(c, cc)
+        if how[0] == "b":
+            free, begun = self.weighed(0.001, c), self.weighed(0.999, c)
+        else:
+            free = begun = self.weights(self.w(w2, w1), c)
+            if linked and _class_of(w1) == ".X":
+                begun = self.weighed(0.001, c)
+            elif linked and _class_of(w1) == ".#":
+                # the sentence that a list number begins goes on like any sentence begins
+                chance = sum(self.weighed(0.999, c))
+                begun = (1e-4 * chance, chance)
+        if low:
+            free, begun = (free[0] * 1e-3, free[1]), (begun[0] * 1e-3, begun[1])
+        if len(self.steps) >= 200_000:
+            self.steps.clear()
+        self.steps[name] = found = (free, begun, linked)
+        return found
+
 
 def scanned(documents: DataFrame) -> DataFrame:
     """The places of every text and the counts of all texts, made in one pass and written once."""
@@ -472,7 +580,7 @@ def _maximised(pairs: list[tuple[str, str, int]], ends: dict[str, int], begins:
     first: Counter = Counter(begins)
     for w, c, n in pairs:
         seen[w] += n
-        if w in SURE and not c.startswith("<xx") and not c[:1].islower() and c not in DASHES:
+        if (w in SURE or w[-1] == "_") and not c.startswith("<xx") and not c[:1].islower() and c not in DASHES:
             first[c] += n
     # how many boundaries inside paragraphs there are for each at a paragraph's end, from sure marks
     sure = sum(n for w, n in seen.items() if w in SURE)
@@ -480,7 +588,7 @@ def _maximised(pairs: list[tuple[str, str, int]], ends: dict[str, int], begins:
     names = {c for _, c, _ in pairs} | set(first) | set(words)
     total_first = sum(first.values()) or 1
     next_b = {c: (first[c] + 0.05) / total_first for c in names}
-    theta = {w: SURE_CHANCE if w in SURE else min(max((ends.get(w, 0) * ratio + 0.02) / (n + 1.0), 0.002), 0.98) for w, n in seen.items()}
+    theta = {w: SURE_CHANCE if w in SURE or w[-1] == "_" else min(max((ends.get(w, 0) * ratio + 0.02) / (n + 1.0), 0.002), 0.98) for w, n in seen.items()}
     boundaries = sum(n * theta[w] for w, n in seen.items()) + sum(begins.values())
     model = Model(theta, next_b, {})
     for turn in range(rounds + 1):
@@ -498,7 +606,7 @@ def _maximised(pairs: list[tuple[str, str, int]], ends: dict[str, int], begins:
         theta = {}
         for w, n in seen.items():
             # what paragraphs show counts like a tenth of the open places more
-            shown = min(ends.get(w, 0) * ratio / n, 1.0)
+            shown = 1.0 if w[-1] == "_" else min(ends.get(w, 0) * ratio / n, 1.0)
             weight = 5 + n / 10
             theta[w] = SURE_CHANCE if w in SURE else min(max((got[w] + weight * shown) / (n + weight), 0.0005), 0.9995)
             if shown < 0.02 and n >= 20 and w not in SURE:
@@ -510,33 +618,17 @@ def _maximised(pairs: list[tuple[str, str, int]], ends: dict[str, int], begins:
 # ---------------------------------------------------------------- decisions
 
 
-def posteriors(found: list[Place], model: Model) -> list[float]:
-    """The chance of a boundary at each place, by forward-backward over the paragraph.
+def posteriors(steps: list[tuple]) -> list[float]:
+    """The chance of a boundary at each place of a paragraph, by forward-backward over their steps (see ``Model.step``).
 
     A linked place depends on the one before: a number or initial that begins a sentence doesn't
-    end it, and a bracket that stands alone ends where it began, between sentences.
+    end it, and a bracket that stands alone ends where it began, between sentences. Where none is
+    linked, the places of the bigram model don't depend on each other.
     """
-    steps = []
-    for i, (_, _, w2, w1, c, cc, by, linked) in enumerate(found):
-        low = cc.startswith("xx") or c in DASHES
-        c = model.c(c, cc)
-        if by == "space":
-            free = begun = (1.0, 0.0)
-        elif by == "bracket":
-            free, begun = model.weighed(0.001, c), model.weighed(0.999, c)
-        else:
-            free = begun = model.weights(model.w(w2, w1), c)
-            if linked is not False and _class_of(w1) == ".X":
-                begun = model.weighed(0.001, c)
-            elif linked is not False and _class_of(w1) == ".#":
-                # the sentence that a list number begins goes on like any sentence begins
-                chance = sum(model.weighed(0.999, c))
-                begun = (1e-4 * chance, chance)
-        if low:
-            free, begun = (free[0] * 1e-3, free[1]), (begun[0] * 1e-3, begun[1])
-        # the first place of a paragraph follows a boundary, too
-        known = linked is None or (linked and not i)
-        steps.append((begun, begun) if known else (free, begun) if linked else (free, free))
+    if not any(linked for _, _, linked in steps):
+        return [b / ((b + n) or 1.0) for (b, n), _, _ in steps]
+    # the first place of a paragraph follows a boundary, too
+    steps = [(begun if linked == 2 or (linked and not i) else free, begun if linked else free) for i, (free, begun, linked) in enumerate(steps)]
     forward = []
     b, n = 0.0, 1.0
     for free, begun in steps:
@@ -557,35 +649,40 @@ def posteriors(found: list[Place], model: Model) -> list[float]:
     return out
 
 
-def chosen(paragraphs_of: list[tuple[int, int, list[Place]]], model: Model) -> list[tuple[int, int]]:
+def chosen(bounds: list[int], at: list[int], following: list[int], names: list[str], model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text with these paragraphs and places."""
     out = []
-    for start, end, found in paragraphs_of:
-        at = start
-        if found:
-            for place, chance in zip(found, posteriors(found, model)):
-                if chance > 0.5 and place[0] > at:
-                    out.append((at, place[0]))
-                    at = place[1]
-        if at < end:
-            out.append((at, end))
+    i = 0
+    for k in range(0, len(bounds), 3):
+        start, end, n = bounds[k : k + 3]
+        if n:
+            for place, chance in enumerate(posteriors([model.step(name) for name in names[i : i + n]]), i):
+                if chance > 0.5 and at[place] > start:
+                    out.append((start, at[place]))
+                    start = following[place]
+            i += n
+        if start < end:
+            out.append((start, end))
     return out
 
 
 def split_text(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentences of ``text``."""
-    return chosen([(start, end, found) for start, end, found, _ in scan(text)], model)
+    found = scan(text)
+    every = [p for _, _, own, _ in found for p in own]
+    bounds = [x for start, end, own, _ in found for x in (start, end, len(own))]
+    return chosen(bounds, [p[0] for p in every], [p[1] for p in every], [p[2] for p in every], model)
 
 
 def _choose_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
+            for first in range(0, whole.num_rows, 256):
+                part = whole.slice(first, 256)
                 ids, starts, ends = [], [], []
-                for doc_id, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    spans = chosen(pickle.loads(blob), fitted)
+                for doc_id, *places in zip(*[part.column(k).to_pylist() for k in range(5)]):
+                    spans = chosen(*places, fitted)
                     ids += [doc_id] * len(spans)
                     starts += [s for s, _ in spans]
                     ends += [e for _, e in spans]
@@ -603,4 +700,4 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """
     found = scanned(documents)
     fitted = documents.sparkSession.sparkContext.broadcast(model or fit(found))
-    return found.where("kind is null").select("doc_id", "places").mapInArrow(_choose_batches(fitted), "doc_id bigint, start_pos int, end_pos int")
+    return found.where("kind is null").select("doc_id", "bounds", "at", "next", "names").mapInArrow(_choose_batches(fitted), "doc_id bigint, start_pos int, end_pos int")
