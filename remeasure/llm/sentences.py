@@ -246,9 +246,11 @@ def _last_word(text: str, start: int, at: int) -> str:
 
 
 def _is_greek(text: str, start: int, at: int) -> bool:
-    """Whether the word before ``at`` is written in Greek letters."""
-    words = _words_before(text, start, at)
-    return bool(words) and _GREEK.search(words[-1]) is not None
+    """Whether the last letter before ``at`` is a Greek one."""
+    at -= 1
+    while at >= start and not text[at].isalpha():
+        at -= 1
+    return at >= start and _GREEK.match(text, at) is not None
 
 
 _BLOCKED = frozenset(MARKS + ",;:，、；：") | (_CLOSE - set(_OPEN))
