@@ -57,6 +57,8 @@ _MARK = re.escape(MARKS)
 #: A run of marks, or one quotation mark or bracket; with Thai also white space beside it.
 _POINTS = re.compile(rf"[{_MARK}{_OTHER}](?:(?<=[{_MARK}])[{_MARK}]+)?")
 _THAI_POINTS = re.compile(rf"[{_MARK}]+|[{_OTHER}]|(?<=[{_THAI})\]）])\s+(?=\S)|\s+(?=[{_THAI}])")
+#: A quotation mark or bracket.
+_EITHER_SIGN = re.compile(f"[{re.escape(''.join(sorted(_EITHER)))}]")
 _HAS_THAI = re.compile(f"[{_THAI}]")
 #: What isn't a letter or a mark that belongs to one.
 _NO_WORD = r"\s\d!-/:-@\[-`{-\xbf\u2010-\u205e\u3001-\u301f\uff01-\uff1f\u0964\u0965\u1361-\u1368\u061f\u06d4\u060c\u061b"
@@ -187,6 +189,8 @@ def _after(following: str) -> tuple[str, str]:
 def _spans(text: str, start: int, end: int, thai: bool) -> tuple[list[re.Match], dict[int, int]]:
     """The points of a paragraph and, by the place of their opening, where outer quotations and brackets close."""
     points = list((_THAI_POINTS if thai else _POINTS).finditer(text, start, end))
+    if not _EITHER_SIGN.search(text, start, end):
+        return points, {}
     stack: list[tuple[str, int]] = []
     waiting: Counter = Counter()  # closing marks that something in the stack waits for
     pairs: dict[int, int] = {}
@@ -651,44 +655,55 @@ def posteriors(steps: list[tuple]) -> list[float]:
     return out
 
 
-def chosen(bounds: list[int], at: list[int], following: list[int], names: list[str], model: Model) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text with these paragraphs and places."""
-    out = []
-    i = 0
-    for k in range(0, len(bounds), 3):
-        start, end, n = bounds[k : k + 3]
-        if n:
-            for place, chance in enumerate(posteriors([model.step(name) for name in names[i : i + n]]), i):
-                if chance > 0.5 and at[place] > start:
-                    out.append((start, at[place]))
-                    start = following[place]
-            i += n
-        if start < end:
-            out.append((start, end))
-    return out
+def chosen(bounds: np.ndarray, at: np.ndarray, following: np.ndarray, names: np.ndarray, steps: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paragraph, start, end) of the sentences of paragraphs with these bounds (start, end, number of places) and places.
+
+    names holds the number in ``steps`` of each place's name. Places of paragraphs without links are
+    decided together; the others go through ``posteriors``.
+    """
+    weights = np.array([free for free, _, _ in steps], float).reshape(-1, 2)
+    linked = np.array([link for _, _, link in steps], np.int64)
+    own = np.repeat(np.arange(len(bounds)), bounds[:, 2])
+    ends_here = (weights[:, 0] > weights[:, 1])[names] if len(names) else np.zeros(0, bool)
+    first = np.cumsum(bounds[:, 2]) - bounds[:, 2]
+    for k in np.unique(own[linked[names] > 0]) if len(names) else ():
+        here = slice(first[k], first[k] + bounds[k, 2])
+        ends_here[here] = [chance > 0.5 for chance in posteriors([steps[n] for n in names[here]])]
+    cuts = np.flatnonzero(ends_here)
+    # a paragraph has one sentence more than cuts
+    sentences_of = np.bincount(own[cuts], minlength=len(bounds)) + 1
+    last = np.cumsum(sentences_of) - 1
+    starts, ends = np.empty(sentences_of.sum(), np.int64), np.empty(sentences_of.sum(), np.int64)
+    before = np.arange(len(cuts)) + own[cuts]
+    ends[before], starts[before + 1] = at[cuts], following[cuts]
+    starts[last - sentences_of + 1], ends[last] = bounds[:, 0], bounds[:, 1]
+    return np.repeat(np.arange(len(bounds)), sentences_of), starts, ends
 
 
 def split_text(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentences of ``text``."""
     found = scan(text)
     every = [p for _, _, own, _ in found for p in own]
-    bounds = [x for start, end, own, _ in found for x in (start, end, len(own))]
-    return chosen(bounds, [p[0] for p in every], [p[1] for p in every], [p[2] for p in every], model)
+    bounds = np.array([(start, end, len(own)) for start, end, own, _ in found], np.int64).reshape(-1, 3)
+    steps = [model.step(name) for _, _, name in every]
+    at, following = (np.array([p[k] for p in every], np.int64) for k in (0, 1))
+    return list(zip(*[x.tolist() for x in chosen(bounds, at, following, np.arange(len(every)), steps)[1:]]))
 
 
 def _choose_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                part = whole.slice(first, 256)
-                ids, starts, ends = [], [], []
-                for doc_id, *places in zip(*[part.column(k).to_pylist() for k in range(5)]):
-                    spans = chosen(*places, fitted)
-                    ids += [doc_id] * len(spans)
-                    starts += [s for s, _ in spans]
-                    ends += [e for _, e in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_pos", "end_pos"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bounds, at, following = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (1, 2, 3))
+            bounds = bounds.reshape(-1, 3)
+            names = batch.column(4).flatten().dictionary_encode()
+            steps = [fitted.step(name) for name in names.dictionary.to_pylist()]
+            paragraph, starts, ends = chosen(bounds, at, following, names.indices.to_numpy(), steps)
+            per_text = batch.column(1).value_lengths().to_numpy() // 3
+            row = np.repeat(np.arange(batch.num_rows), per_text)[paragraph]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["doc_id", "start_pos", "end_pos"])
 
     return run
 
