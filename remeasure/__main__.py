@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 
 from remeasure.operators import pairs
 from remeasure.operators.label_offsets import DEFAULT_PERMUTATIONS, OffsetRules
+from remeasure.operators.quality import QualityRules
 from remeasure.plans import pipeline, report
+from remeasure.session import drop_stored
 from remeasure.sources import download, readers
 
 
@@ -28,7 +30,15 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--lite", action="store_true")
     analyze.add_argument("--labels", action="store_true", help="test label offsets on held-out sources")
     analyze.add_argument("--permutations", type=int, default=DEFAULT_PERMUTATIONS, help="shuffles of nights with --labels")
-    analyze.add_argument("--min-pairs-per-label", type=int, default=200)
+    analyze.add_argument("--min-sn-r", type=float, default=QualityRules.min_sn_r)
+    label = OffsetRules()
+    analyze.add_argument("--min-pairs-per-label", type=int, default=label.min_pairs_per_label)
+    analyze.add_argument("--folds", type=int, default=label.folds)
+    analyze.add_argument("--max-abs-z", type=float, default=label.max_abs_z)
+    analyze.add_argument("--clip", type=float, default=label.clip)
+    analyze.add_argument("--clip-rounds", type=int, default=label.clip_rounds)
+    analyze.add_argument("--damp", type=float, default=label.damp)
+    analyze.add_argument("--min-delta-days", type=float, default=label.min_delta_days)
     again = commands.add_parser("report")
     again.add_argument("folder")
     fetch = commands.add_parser("download")
@@ -54,8 +64,9 @@ def main(argv: list[str] | None = None) -> None:
         raise ValueError("The correction's MD5 mismatches the expected one")
     epochs = readers.read_many(spark, args.inputs, args.max_rows, args.strict)
     offsets = readers.read_correction(spark, args.correction) if args.correction else None
-    rules = OffsetRules(min_pairs_per_label=args.min_pairs_per_label) if args.labels else None
-    audit = pipeline.run_audit(epochs, offsets, cap=args.cap, label_rules=rules, permutations=args.permutations)
+    names = ("min_pairs_per_label", "folds", "max_abs_z", "clip", "clip_rounds", "damp", "min_delta_days")
+    rules = OffsetRules(**{n: getattr(args, n) for n in names}) if args.labels else None
+    audit = pipeline.run_audit(epochs, offsets, QualityRules(min_sn_r=args.min_sn_r), args.cap, rules, args.permutations)
     Path(args.output).mkdir(parents=True, exist_ok=True)
     pipeline.save(audit, args.output, args.lite)
     with open(f"{args.output}/stage_timings.csv", "w", newline="") as f:
@@ -63,6 +74,7 @@ def main(argv: list[str] | None = None) -> None:
     pipeline.write_manifest(pipeline.manifest(args.inputs, vars(args)), f"{args.output}/run_manifest.json")
     report.write_report(audit.tables, f"{args.output}/report.md")
     report.write_plots(audit.tables, args.output)
+    drop_stored(spark)
 
 
 if __name__ == "__main__":

@@ -21,6 +21,7 @@ NUMBERS = (
 )
 TRUE_WORDS = ("true", "1", "yes", "y", "t", "1.0")
 REQUIRED = ("TARGETID", "VRAD", "VRAD_ERR")
+# Fixed value: how delivered files are named.
 _FILE_CONTEXT = r"rvpix_exp-([^-]+)-([^.]+)\.fits(?:\.gz)?$"
 
 
@@ -46,7 +47,7 @@ def validate_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Dat
     """``df`` itself, or a ValueError that names the missing columns."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"The table has no column {', '.join(missing)}")
     return df
 
 
