@@ -63,7 +63,9 @@ def pair_places(sizes: DataFrame, cap: int) -> DataFrame:
     row = F.when(_triangle("_k") > F.col("_rest"), F.col("_k") - 1).when(_triangle("_k + 1") <= F.col("_rest"), F.col("_k") + 1).otherwise(F.col("_k"))
     exact = guess.withColumn("_k", row)
     behind = (F.col("_rest") - _triangle("_k")).cast("bigint")
-    return exact.select("GROUP_ID", "pair_no", (F.col("group_size") - 2 - F.col("_k")).alias("i"), (F.col("group_size") - 1 - behind).alias("j"))
+    # never null, and said so: else joins on i and j test the whole arithmetic for nulls, many times over
+    place = lambda x: F.coalesce(x, F.lit(-1).cast("bigint"))
+    return exact.select("GROUP_ID", "pair_no", place(F.col("group_size") - 2 - F.col("_k")).alias("i"), place(F.col("group_size") - 1 - behind).alias("j"))
 
 
 def epoch_pairs(epochs: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
@@ -94,7 +96,8 @@ def epoch_pairs(epochs: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
     ranked = stored(numbered(stored(plain), ["GROUP_ID"], F.floor("MJD"), order))
     sizes = ranked.where("place = 0").select("GROUP_ID", "group_size")
     places = pair_places(sizes, cap) if cap >= 1 else pair_places(sizes, 1).where(F.lit(False))
-    a, b = ranked.alias("a"), ranked.alias("b")
+    # both sides grow with the groups: merge joins by group and place, on which no key is hot
+    a, b = ranked.hint("merge").alias("a"), ranked.hint("merge").alias("b")
     first = places.alias("p").join(a, F.col("p.GROUP_ID").eqNullSafe(F.col("a.GROUP_ID")) & (F.col("p.i") == F.col("a.place")))
     both = first.join(b, F.col("p.GROUP_ID").eqNullSafe(F.col("b.GROUP_ID")) & (F.col("p.j") == F.col("b.place")))
     ends = {f"{c}_{k}": F.col(f"{s}.{c}") for c in (*_ENDS, "OBS_KEY", "EXPOSURE_KEY", "VRAD", "VRAD_FORMAL", "PROGRAM", "SURVEY") for k, s in ((1, "a"), (2, "b"))}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +14,19 @@ DIMENSIONS = ("PROGRAM", "NIGHT", "TILEID", "EXPID", "FIBER")
 ZERO_POINT_RULES = OffsetRules(min_delta_days=1.0, min_pairs_per_label=200, max_abs_z=5.0, damp=0.05, balance_groups=False, center_components=False)
 
 
-def base_pairs(pairs: DataFrame, dimension: str, min_days: float | None = 1.0) -> DataFrame:
-    """(GROUP_ID, L1, L2, PROGRAM_PAIR, d, err, z) of pairs with finite values, an error above 0 and two labels."""
-    label = lambda k: F.coalesce(F.trim(F.col(f"{dimension}_{k}").cast("string")), F.lit(""))
+def base_pairs(pairs: DataFrame, dimensions: list[str], min_days: float | None = 1.0) -> DataFrame:
+    """(run, GROUP_ID, L1, L2, PROGRAM_PAIR, d, err, z) of pairs with finite values, an error above 0 and two labels.
+
+    A pair has a row for each of ``dimensions`` that labels both its ends; run names the dimension. ``pairs`` is read once.
+    """
+    label = lambda dimension, k: F.coalesce(F.trim(F.col(f"{dimension}_{k}").cast("string")), F.lit(""))
     d, err = F.col("DELTA_VRAD"), F.col("PAIR_ERROR")
     usable = is_finite(d) & is_finite(err) & (err > 0)
     if min_days is not None and "DELTA_DAYS" in pairs.columns:
         usable &= F.col("DELTA_DAYS") > min_days
     stratum = F.col("PROGRAM_PAIR") if "PROGRAM_PAIR" in pairs.columns else F.lit(None).cast("string")
-    rows = pairs.where(usable).select("GROUP_ID", label(1).alias("L1"), label(2).alias("L2"), stratum.alias("PROGRAM_PAIR"), d.alias("d"), err.alias("err"), F.col("PAIR_Z").alias("z"))
+    labels = F.array(*[F.struct(F.lit(name).alias("run"), label(name, 1).alias("L1"), label(name, 2).alias("L2")) for name in dimensions])
+    rows = pairs.where(usable).select("GROUP_ID", F.inline(labels), stratum.alias("PROGRAM_PAIR"), d.alias("d"), err.alias("err"), F.col("PAIR_Z").alias("z"))
     return rows.where("L1 <> '' and L2 <> ''")
 
 
@@ -57,7 +59,7 @@ def zero_point_calibration(pairs: DataFrame, dimensions: list[str] | None = None
     if not known:
         empty = spark.createDataFrame([], schema)
         return {"summary": empty, "by_program": empty, "offsets": empty}
-    rows = reduce(DataFrame.unionByName, [base_pairs(pairs, d, days).select(F.lit(d).alias("run"), "*") for d in known])
+    rows = base_pairs(pairs, known, days)
     split = hashed(F.coalesce(F.col("GROUP_ID").cast("string"), F.lit("")), 1000) < train_fraction * 1000
     rows = stored(rows.withColumn("in_train", split))
     train = rows.where("in_train").where(F.abs("z") <= rules.max_abs_z)
