@@ -13,6 +13,8 @@ from remeasure.session import stored
 #: Groups of up to so many values are aggregated whole; larger ones are cut at 199 splitters.
 WHOLE_GROUP = 100_000
 _SPLITTERS = [k / 200 for k in range(1, 200)]
+#: A value is held against every so many of the splitters first, then against those between two of them.
+_STRIDE = 14
 
 
 def same(left: str, right: str, columns: list[str]) -> Column:
@@ -73,7 +75,10 @@ def _long_quantiles(long: DataFrame, keys: list[str], wanted: list[dict[str, flo
     """The quantiles of groups of any size; ``long`` has the keys, _c (number of the column) and _v."""
     by = [*keys, "_c"]
     sizes = stored(long.groupBy(*by).agg(F.count("*").alias("_n"), F.array_distinct(F.percentile_approx("_v", _SPLITTERS, 4000)).alias("_cuts")))
-    cut = long.alias("b").join(sizes.alias("c"), same("b", "c", by)).select("b.*", "c._n", F.size(F.filter("c._cuts", lambda x: x < F.col("b._v"))).alias("_slot"))
+    coarse = F.filter("_cuts", lambda _, i: (i + 1) % _STRIDE == 0).alias("_coarse")
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x < F.col("_v")))
+    cut = long.alias("b").join(sizes.select("*", coarse).alias("c"), same("b", "c", by)).select("b.*", "c._n", "c._cuts", (below("c._coarse") * _STRIDE).alias("_slot"))
+    cut = cut.withColumn("_slot", F.col("_slot") + below(F.slice("_cuts", F.col("_slot") + 1, _STRIDE))).drop("_cuts")
     cut = stored(cut.groupBy(*by, "_n", "_slot", "_v").agg(F.count("*").alias("_m")))
     before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     spans = cut.groupBy(*by, "_n", "_slot").agg(F.sum("_m").alias("_m")).withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
