@@ -9,6 +9,25 @@ from remeasure.functions import ranks
 from remeasure.operators import label_offsets, zero_points
 from remeasure.operators.label_offsets import OffsetRules
 
+
+def test_a_run_is_solved_batch_by_batch(monkeypatch):
+    monkeypatch.setattr(label_offsets, "_CHUNK", 7)
+    rng = np.random.default_rng(7)
+    labels = [f"n{k:02}" for k in rng.permutation(30)]
+    every = [(m, a, b) for m in (0, 1) for k, a in enumerate(labels) for b in labels[k + 1 :] if rng.random() < 0.2 and (a < "n10") == (b < "n10")]
+    sums = pd.DataFrame(every, columns=["m", "L1", "L2"]).assign(run=3, s0=rng.random(len(every)), s1=rng.normal(size=len(every)))
+    batches = pa.Table.from_pandas(sums, preserve_index=False).to_batches(max_chunksize=13)
+    found = pa.Table.from_batches(label_offsets._run_solver(2, OffsetRules(), "int")(iter(batches))).to_pylist()
+    assert [r["label"] for r in found] == sorted(set(sums["L1"]) | set(sums["L2"]))
+    for m, own in sums.groupby("m"):
+        got = {r["label"]: (r["o"][m], r["c"][m]) for r in found if r["o"][m] is not None}
+        wanted = {r.label: (r.offset, r.component) for r in label_offsets.solve_sums(own, 0.2, True).itertuples()}
+        assert got.keys() == wanted.keys()
+        assert all(abs(got[k][0] - x) < 1e-9 and got[k][1] == c for k, (x, c) in wanted.items())
+    # rounds of joins took hours from 2,000,000 rows on, which the exposures of a gigabyte exceed
+    assert label_offsets.LOCAL_SUMS >= 10_000_000
+
+
 def test_quantiles_are_exact_whatever_the_sketch_says(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.randn(1).alias("_v0"), F.when(F.col("id") % 3 == 1, F.round(F.randn(2), 1)).alias("_v1"))
     df = ranks.stored(df)
