@@ -43,3 +43,19 @@ def test_quantiles_are_exact_whatever_the_sketch_says(spark):
                 values = own[f"_v{i}"].dropna()
                 for name, q in names.items():
                     assert abs(r[name] - np.quantile(values, q)) < 1e-9 if len(values) else r[name] is None
+
+
+def test_zero_points_make_only_what_is_asked_for(spark, monkeypatch):
+    rows = [(g, 2.0 if g % 2 else -2.0, 1.0, 2.0 if g % 2 else -2.0, *(("A", "B") if g % 2 else ("B", "A")), "A / B", 2.0) for g in range(200)]
+    df = spark.createDataFrame(rows, "GROUP_ID long, DELTA_VRAD double, PAIR_ERROR double, PAIR_Z double, PROGRAM_1 string, PROGRAM_2 string, PROGRAM_PAIR string, DELTA_DAYS double")
+    rules = OffsetRules(min_pairs_per_label=10, damp=0.01, balance_groups=False, center_components=False)
+    whole = zero_points.zero_point_calibration(df, None, rules)
+    assert set(whole) == {"summary", "by_program", "offsets"}
+    made = []
+    metrics = zero_points._z_metrics
+    monkeypatch.setattr(zero_points, "_z_metrics", lambda scored, keys: made.append(keys) or metrics(scored, keys))
+    for part, keys in (("offsets", []), ("by_program", [["run", "PROGRAM_PAIR"]]), ("summary", [["run"]])):
+        made.clear()
+        out = zero_points.zero_point_calibration(df, None, rules, parts=(part,))
+        assert list(out) == [part] and made == keys
+        assert sorted(map(str, out[part].collect())) == sorted(map(str, whole[part].collect()))
