@@ -59,3 +59,18 @@ def test_zero_points_make_only_what_is_asked_for(spark, monkeypatch):
         out = zero_points.zero_point_calibration(df, None, rules, parts=(part,))
         assert list(out) == [part] and made == keys
         assert sorted(map(str, out[part].collect())) == sorted(map(str, whole[part].collect()))
+
+
+def test_groups_of_middle_size_are_sorted_as_arrays(spark, monkeypatch):
+    used = []
+    arrays = ranks._array_quantiles
+    monkeypatch.setattr(ranks, "_array_quantiles", lambda *a: used.append(1) or arrays(*a))
+    df = spark.range(12_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.randn(1).alias("a"), F.when(F.col("id") % 3 == 1, F.round(F.randn(2), 1)).alias("b"))
+    df = ranks.stored(df)
+    rows = df.toPandas()
+    found = {r.k: r for r in ranks.column_quantiles(df, ["k"], {"a": {"low": 0.16, "top": 1.0}, "b": {"mid": 0.5}}).collect()}
+    assert used and set(found) == {None, 1, 2}
+    for k, r in found.items():
+        own = rows[rows["k"].isna() if k is None else rows["k"] == k]
+        assert abs(r.low - np.quantile(own["a"], 0.16)) < 1e-9 and r.top == own["a"].max()
+        assert r.mid is None if k != 1 else abs(r.mid - np.quantile(own["b"].dropna(), 0.5)) < 1e-9
