@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,10 +145,11 @@ def _words_before(text: str, start: int, at: int) -> list[str]:
 def _before(text: str, start: int, at: int, mark: str) -> tuple[str, str]:
     """(two words, one word) that stand before the mark at ``at``, as the model names them."""
     kind = mark[0]
-    if kind in "!！?？؟‼⁇⁈⁉;;":
-        return "!", "!"
-    if kind in "。．｡।॥።፧۔។៕၊။༎":
-        return "。", "。"
+    if kind != ".":
+        if kind in "!！?？؟‼⁇⁈⁉;;":
+            return "!", "!"
+        if kind in "。．｡।॥።፧۔។៕၊။༎":
+            return "。", "。"
     words = _words_before(text, start, at)
     last = _named(words[-1]) if words and not text[at - 1].isspace() else ""
     if len(mark) > 1 or kind == "…":
@@ -189,16 +191,13 @@ def _after(following: str) -> tuple[str, str]:
 def _spans(text: str, start: int, end: int, thai: bool) -> tuple[list[re.Match], dict[int, int]]:
     """The points of a paragraph and, by the place of their opening, where outer quotations and brackets close."""
     points = list((_THAI_POINTS if thai else _POINTS).finditer(text, start, end))
-    if not _EITHER_SIGN.search(text, start, end):
-        return points, {}
+    signs = _EITHER_SIGN.finditer(text, start, end)
     stack: list[tuple[str, int]] = []
     waiting: Counter = Counter()  # closing marks that something in the stack waits for
     pairs: dict[int, int] = {}
-    for m in points:
+    for m in signs:
         at = m.start()
         ch = text[at]
-        if ch not in _EITHER:
-            continue
         left = text[at - 1] if at > start else " "
         right = text[at + 1] if at + 1 < end else " "
         if ch in "’'" and left.isalpha() and right.isalpha():
@@ -372,6 +371,7 @@ class Counts:
         self.places: Counter = Counter()
         self.borders: Counter = Counter()
         self.tokens: Counter = Counter()
+        self.waiting: list[pa.Array] = []
         self.apart: Counter = Counter()
 
     def add(self, text: str, scanned: list) -> None:
@@ -382,14 +382,31 @@ class Counts:
             if last is not None:
                 borders["end", last[0], last[1], "", ""] += 1
             borders["begin", "", "", *_following(text, start, end)] += 1
-        self.tokens.update(text.split())
         self.apart.update(m[0][0] + _kind(m[1]) for m in _APART.finditer(text))
 
+    def add_words(self, texts: pa.Array) -> None:
+        """Counts the words of whole columns, about a million at a time, outside Python."""
+        self.waiting.append(pc.utf8_split_whitespace(texts).flatten())
+        if sum(map(len, self.waiting)) > 1_000_000:
+            self.count_words()
+
+    def count_words(self) -> None:
+        if self.waiting:
+            words, counts = pc.value_counts(pa.chunked_array(self.waiting)).flatten()
+            self.waiting = []
+            tokens = self.tokens
+            for word, n in zip(words.to_pylist(), counts.to_pylist()):
+                tokens[word] += n
+            # texts that begin or end with white space have empty words there
+            tokens.pop("", None)
+            tokens.pop(None, None)
+
     def __len__(self) -> int:
         return len(self.places) + len(self.tokens)
 
     def rows(self) -> Counter:
         """(kind, w2, w1, c, cc) with counts; kinds: open and linked place, end and begin of a paragraph, word."""
+        self.count_words()
         out = Counter(self.borders)
         for name, n in self.places.items():
             how, w2, w1, c, cc = name.split("\t")
@@ -444,6 +461,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for first in range(0, whole.num_rows, 256):
             part = whole.slice(first, 256)
+            counts.add_words(part.column(1))
             ids, n_bounds, bounds, n_places, found_at = [], [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 scanned = scan(text) if text else []
@@ -463,6 +481,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if len(counts) > 300_000:
                 yield flushed()
                 counts = Counts()
+    counts.count_words()
     if len(counts):
         yield flushed()
 
