@@ -142,6 +142,9 @@ def _words_before(text: str, start: int, at: int) -> list[str]:
         reach *= 4
 
 
+_NONE: list[str] = []
+
+
 def _before(text: str, start: int, at: int, mark: str) -> tuple[str, str]:
     """(two words, one word) that stand before the mark at ``at``, as the model names them."""
     kind = mark[0]
@@ -150,7 +153,10 @@ def _before(text: str, start: int, at: int, mark: str) -> tuple[str, str]:
             return "!", "!"
         if kind in "。．｡।॥።፧۔។៕၊။༎":
             return "。", "。"
-    words = _words_before(text, start, at)
+    low = at - 40
+    words = text[low:at].rsplit(None, 2) if low > start else _NONE
+    if len(words) < 3:
+        words = _words_before(text, start, at)
     last = _named(words[-1]) if words and not text[at - 1].isspace() else ""
     if len(mark) > 1 or kind == "…":
         if at > start and _CJK.match(text, at - 1):
@@ -282,6 +288,7 @@ def places(text: str, start: int, end: int, thai: bool = True) -> tuple[list[Pla
     last: tuple[str, str] | None = None
     fresh = start  # where the text after the last place begins
     skip = -1
+    following, after = _FOLLOWING.match, _after
     for m in points:
         at, stop = m.span()
         if at < skip:
@@ -347,7 +354,7 @@ def places(text: str, start: int, end: int, thai: bool = True) -> tuple[list[Pla
                 linked = int(text.find(" ", fresh, at) < 0 and text.find("\n", fresh, at) < 0)
                 if not linked and w2.split(" ")[0][-1:] in INTRODUCERS:
                     linked = 2  # after a speaker's label, where a sentence begins
-        c, cc = _following(text, k, end)
+        c, cc = after(following(text, k, end).group())
         found.append((at if by == "s" else stop, k, f"{by}{linked}\t{w2}\t{w1}\t{c}\t{cc}"))
         fresh = k
     if thai and last is None and "\u0e00" <= text[end - 1] <= "\u0eff":
